@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.operators import units
+from colloquy.session import table
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return units.common_units(table(spark, sf, "numeric_claims"))
+
+
+def p4_by_unit(spark: SparkSession, sf: str) -> DataFrame:
+    return units.unit_report(table(spark, sf, "numeric_claims"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p4_found": p4_found, "p4_by_unit": p4_by_unit}
 
 
 def oracle_sql() -> dict[str, str]:
