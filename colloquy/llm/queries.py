@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import encode as _encode
+from colloquy.llm import sentences as _sentences
 from colloquy.session import table
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _sentences.records(table(spark, sf, "corpus_analyst"), table(spark, sf, "qa_pairs"), "edited")
+    return _sentences.sentence_units(rows)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _encode.encode(table(spark, sf, "documents"))
 
@@ -19,7 +25,7 @@ def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
+    return {"p5_found": p5_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
 
 
 def oracle_sql() -> dict[str, str]:
