@@ -65,8 +65,19 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+def fan(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` by hash of ``cols`` (or at random) over at least all task slots.
+
+    Adaptive execution merges shuffle partitions by their bytes; before work in Python, whose cost is
+    not in the bytes, they are kept apart.
+    """
+    spark = df.sparkSession
+    n = max(slots(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *cols)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all task slots if it was read in fewer partitions, else unchanged.
+    """``df``, a scan, over all task slots if it was read in fewer partitions, else unchanged.
 
     A large table is read in many partitions and stays as it is; only a small one is dealt out anew
     before work in Python.
