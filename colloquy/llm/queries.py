@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import encode as _encode
+from colloquy.llm import overlap as _overlap
 from colloquy.llm import sentences as _sentences
 from colloquy.session import table
 
@@ -16,6 +17,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _sentences.sentence_units(rows)
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _overlap.overlap_pairs(table(spark, sf, "sentiment_labels"))
+
+
+def p7_by_round_source(spark: SparkSession, sf: str) -> DataFrame:
+    return _overlap.overlap_report(table(spark, sf, "sentiment_labels"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _encode.encode(table(spark, sf, "documents"))
 
@@ -25,7 +34,8 @@ def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
+    """Every query of this module by its name."""
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
