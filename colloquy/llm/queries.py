@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import encode as _encode
+from colloquy.llm import leakage as _leakage
 from colloquy.llm import overlap as _overlap
 from colloquy.llm import sentences as _sentences
 from colloquy.session import table
@@ -33,6 +34,14 @@ def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _encode.roundtrip(table(spark, sf, "documents"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    return _leakage.leak_report(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this module by its name."""
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
