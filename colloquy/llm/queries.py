@@ -10,9 +10,18 @@ from colloquy.llm import encode as _encode
 from colloquy.llm import leakage as _leakage
 from colloquy.llm import overlap as _overlap
 from colloquy.llm import sentences as _sentences
+from colloquy.llm import turns as _turns
 from colloquy.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns.clean_turns(table(spark, sf, "corpus_analyst"), table(spark, sf, "speakers"))
+
+
+def p1_turn_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns.turn_texts(table(spark, sf, "corpus_analyst"), table(spark, sf, "speakers"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = _sentences.records(table(spark, sf, "corpus_analyst"), table(spark, sf, "qa_pairs"), "edited")
     return _sentences.sentence_units(rows)
