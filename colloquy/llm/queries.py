@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm import consensus as _consensus
 from colloquy.llm import encode as _encode
 from colloquy.llm import leakage as _leakage
 from colloquy.llm import overlap as _overlap
@@ -22,6 +23,18 @@ def p1_turn_texts(spark: SparkSession, sf: str) -> DataFrame:
     return _turns.turn_texts(table(spark, sf, "corpus_analyst"), table(spark, sf, "speakers"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _consensus.consensus(table(spark, sf, "coder_labels"))
+
+
+def p2_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return _consensus.agreement(table(spark, sf, "coder_labels"))
+
+
+def p2_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    return _consensus.reliability(table(spark, sf, "coder_labels"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = _sentences.records(table(spark, sf, "corpus_analyst"), table(spark, sf, "qa_pairs"), "edited")
     return _sentences.sentence_units(rows)
