@@ -10,6 +10,7 @@ from colloquy.llm import consensus as _consensus
 from colloquy.llm import encode as _encode
 from colloquy.llm import leakage as _leakage
 from colloquy.llm import overlap as _overlap
+from colloquy.llm import scans as _scans
 from colloquy.llm import sentences as _sentences
 from colloquy.llm import turns as _turns
 from colloquy.session import table
@@ -40,6 +41,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _sentences.sentence_units(rows)
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scans.repairs(_scans.records(table(spark, sf, "corpus_analyst"), table(spark, sf, "qa_pairs")))
+
+
+def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return _scans.repaired(_scans.records(table(spark, sf, "corpus_analyst"), table(spark, sf, "qa_pairs")))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _overlap.overlap_pairs(table(spark, sf, "sentiment_labels"))
 
