@@ -26,12 +26,16 @@ from colloquy.session import cut, small, spread
 
 #: Words of a shingle, least words of a passage, and words per changed word.
 SHINGLE, PASSAGE, PER_CHANGE = 5, 12, 8
+#: Words of all items together that may be sent to the tasks; with more, items are joined instead.
+HELD_WORDS = 2_000_000
 
 
 def words(text: Column) -> Column:
     """Lower-case words without punctuation, tags, entities and invisible characters."""
-    t = F.regexp_replace(F.lower(text), r"<[a-z/!][^<>]{0,60}>|&(?:[a-z]{2,8}|#\d{1,6});", " ")
-    t = F.regexp_replace(t, r"[​‌‍­﻿'’‘ʼ`]|(?<=\p{L})[-‐‑](?=\p{L})", "")
+    t = F.lower(text)
+    marked = F.contains(t, F.lit("<")) | F.contains(t, F.lit("&"))
+    t = F.when(marked, F.regexp_replace(t, r"<[a-z/!][^<>]{0,60}>|&(?:[a-z]{2,8}|#\d{1,6});", " ")).otherwise(t)
+    t = F.translate(t, "​‌‍­﻿'’‘ʼ`-‐‑", "")
     return F.filter(F.split(t, r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
 
 
@@ -107,18 +111,29 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     )
     hits = cut(_shingles(doc_h, key).join(small(wanted), "shingle"))
     counts = hits.groupBy("shingle").agg(F.count_distinct(key).alias("docs"))
-    prefix = necessary(it, counts).select("item_id", "n", F.col("pos").alias("item_pos"), "shingle")
+    prefix = necessary(it, counts).select("item_id", F.col("pos").alias("item_pos"), "shingle", F.lit(True).alias("rare"))
+    every = _shingles(it, "item_id", "n").select("item_id", "n", F.col("pos").alias("item_pos"), "shingle")
+    span = F.least(F.lit(PASSAGE), F.col("n"))
+    need = F.greatest(span - (SHINGLE - 1) - SHINGLE * F.floor(span / PER_CHANGE), F.lit(1))
+    # a passage has a rare shingle and as many in all as survive the changes, on one diagonal
     found = (
-        hits.join(small(prefix), "shingle")
-        .groupBy(key, "item_id")
-        .agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("diagonals"))
-    )
-    per_doc = (
-        found.join(small(it.select("item_id", F.col("w").alias("item_w"))), "item_id")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("item_id", "item_w", "diagonals"))).alias("items"))
+        hits.join(small(every.join(prefix, ["item_id", "item_pos", "shingle"], "left")), "shingle")
+        .groupBy(key, "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+        .agg(F.count("*").alias("n_hits"), F.max("rare").alias("rare"), F.first(need).alias("need"))
+        .where("rare and n_hits >= need")
     )
     kind = items.schema["item_id"].dataType.simpleString()
+    held = it.agg(F.sum("n").alias("words"), F.count("*").alias("items")).first()
+    shared = None
+    if (held["words"] or 0) <= HELD_WORDS:
+        shared = docs.sparkSession.sparkContext.broadcast({r["item_id"]: list(r["w"]) for r in it.select("item_id", "w").collect()})
+        found = found.withColumn("item_w", F.lit(None).cast("array<string>"))
+    else:
+        found = found.join(it.select("item_id", F.col("w").alias("item_w")), "item_id")
+    per_doc = cut(
+        found.groupBy(key, "item_id").agg(F.first("item_w").alias("item_w"), F.array_sort(F.collect_list("diagonal")).alias("diagonals"))
+        .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item_id", "item_w", "diagonals"))).alias("items"))
+    )
 
     @F.pandas_udf(f"array<{kind}>")
     def kept(texts: pd.Series, candidates: pd.Series) -> pd.Series:
@@ -126,8 +141,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         for w, cands in zip(texts, candidates, strict=True):
             w, runs = list(w), []
             for c in cands:
-                item = list(c["item_w"])
-                run = max((best_run(item, w, int(d)) for d in sorted(c["diagonals"])), default=(0, 0, 0))
+                item = shared.value[c["item_id"]] if shared else list(c["item_w"])
+                run = max((best_run(item, w, int(d)) for d in c["diagonals"]), default=(0, 0, 0))
                 if run[0]:
                     runs.append((-run[0], min(PASSAGE, len(item)), c["item_id"], run[1], run[2]))
             taken: list[tuple[int, int, int]] = []
@@ -140,9 +155,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             out.append(ids)
         return pd.Series(out)
 
-    doc_w = docs.select(key, words(F.col(text)).alias("w")).where("w is not null")
+    # only the texts of candidate documents are moved
+    texts = docs.select(key, text).join(small(per_doc.select(key), 1_000_000), key, "left_semi")
     return (
-        doc_w.join(small(per_doc, 20_000), key)
+        texts.select(key, words(F.col(text)).alias("w"))
+        .join(per_doc, key)
         .select(key, F.explode(kept("w", "items")).alias("item_id"))
         .distinct()
     )
