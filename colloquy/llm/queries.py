@@ -10,6 +10,7 @@ from colloquy.llm import consensus as _consensus
 from colloquy.llm import encode as _encode
 from colloquy.llm import leakage as _leakage
 from colloquy.llm import overlap as _overlap
+from colloquy.llm import pairs as _pairs
 from colloquy.llm import scans as _scans
 from colloquy.llm import sentences as _sentences
 from colloquy.llm import turns as _turns
@@ -36,6 +37,14 @@ def p2_reliability(spark: SparkSession, sf: str) -> DataFrame:
     return _consensus.reliability(table(spark, sf, "coder_labels"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs.defects(table(spark, sf, "qa_pairs"))
+
+
+def p3_by_bank(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs.defect_report(table(spark, sf, "qa_pairs"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = _sentences.records(table(spark, sf, "corpus_analyst"), table(spark, sf, "qa_pairs"), "edited")
     return _sentences.sentence_units(rows)

@@ -427,7 +427,7 @@ def fit(rows: DataFrame, seed_pages: int = 400) -> tuple[dict[str, int], dict, d
 _REPAIRERS: dict[int, Repairer] = {}
 
 
-def _worker(shared) -> Repairer:
+def worker(shared) -> Repairer:
     key = shared.value[0]
     if key not in _REPAIRERS:
         _REPAIRERS.clear()
@@ -435,7 +435,7 @@ def _worker(shared) -> Repairer:
     return _REPAIRERS[key]
 
 
-def _shared(rows: DataFrame):
+def shared(rows: DataFrame):
     model = fit(rows)
     return rows.sparkSession.sparkContext.broadcast((hash((len(model[0]), sum(model[0].values()), sum(model[3].values()))), model))
 
@@ -443,10 +443,10 @@ def _shared(rows: DataFrame):
 def repairs(rows: DataFrame) -> DataFrame:
     """(rec, rec_key, kind, token) of everything repaired in rows of (rec, rec_key, text, text_origin, source)."""
     rows = spread(rows)
-    shared = _shared(rows)
+    model = shared(rows)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = _worker(shared)
+        r = worker(model)
         for b in batches:
             out = [(rec, key, k, t) for rec, key, text, src in zip(b["rec"], b["rec_key"], b["text"], b["source"], strict=True) if text for k, t in set(r.repair(text, src)[1])]
             yield pd.DataFrame(out, columns=["rec", "rec_key", "kind", "token"])
@@ -458,10 +458,10 @@ def repairs(rows: DataFrame) -> DataFrame:
 def repaired(rows: DataFrame) -> DataFrame:
     """(rec, rec_key, text, n_repairs): continuous paragraphs of every row, each once."""
     rows = spread(rows)
-    shared = _shared(rows)
+    model = shared(rows)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = _worker(shared)
+        r = worker(model)
         for b in batches:
             done = [r.repair(t, s) if t else (t, []) for t, s in zip(b["text"], b["source"], strict=True)]
             yield pd.DataFrame({"rec": b["rec"], "rec_key": b["rec_key"], "text": [d[0] for d in done], "n_repairs": [len(d[1]) for d in done]})
