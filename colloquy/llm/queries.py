@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm import abuse as _abuse
 from colloquy.llm import consensus as _consensus
 from colloquy.llm import encode as _encode
 from colloquy.llm import leakage as _leakage
@@ -82,6 +83,18 @@ def p9_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return _leakage.leak_report(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _abuse.found(table(spark, sf, "documents"), table(spark, sf, "content_labels"))
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _abuse.scores(table(spark, sf, "documents"), table(spark, sf, "content_labels"))
+
+
+def p10_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    return _abuse.rates(table(spark, sf, "documents"), table(spark, sf, "content_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this module by its name."""
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
