@@ -89,7 +89,7 @@ def category(norm: Column) -> Column:
 
 def blank(text: Column) -> Column:
     """Whether a text is null, empty or a written-out null."""
-    return F.coalesce(F.lower(F.trim(text)), F.lit("")).isin("", "nan", "none")
+    return F.coalesce(F.regexp_replace(F.lower(text), r"^\s+|\s+$", ""), F.lit("")).isin("", "nan", "none")
 
 
 def content_tokens(text: Column, cap: int | None = None) -> Column:

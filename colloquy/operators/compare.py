@@ -132,9 +132,12 @@ def shared_periods(scored: DataFrame, least: int = 2) -> DataFrame:
 
 
 def reported_metrics(claims: DataFrame, bank: str = "bank") -> DataFrame:
-    """(bank, calendar_period, metric, value, prior, direction): means of claims and their prior period."""
+    """(bank, calendar_period, metric, value, prior, direction): means of claims and their prior period.
+
+    Values are summed in whole hundredths, so the mean does not depend on the order of rows.
+    """
     p = periods.calendar_period(F.col("quarter")).alias("calendar_period")
-    g = claims.where("metric is not null and value is not null and bank is not null").groupBy("bank", p, "metric").agg(F.round(F.avg("value"), 6).alias("value"))
+    g = claims.where("metric is not null and value is not null and bank is not null").groupBy("bank", p, "metric").agg(F.round(F.sum(F.round(F.col("value") * 100).cast("long")) / F.count("*") / 100, 4).alias("value"))
     c = F.col("calendar_period")
     w = Window.partitionBy("bank", "metric").orderBy(periods.year_of(c), periods.period_order(c), c)
     g = g.withColumn("prior", F.lag("value").over(w))
