@@ -71,7 +71,7 @@ NEGATION_WINDOW, LEXICON_BAND, DEAD_ZONE = 3, 0.01, 0.15
 ABSOLUTE_METRICS, FLAT = ("operating_costs", "credit_impairment"), 0.01
 NARRATIVE_BAND = 0.05
 #: The two peers compared by default.
-PEERS = ("norvale_bank", "thornby_bank")
+PEERS = ("calder_union", "norvale_bank")
 LABELS = ("negative", "neutral", "positive")
 #: Words of a role in a firm's name that mark management, and of research houses.
 MANAGEMENT_HINTS = ["group ceo", "group cfo", "group chief", "chief executive", "finance director", "investor relations", "group treasurer", "chief financial"]

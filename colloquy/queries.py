@@ -386,9 +386,9 @@ def _hits_sql() -> str:
         pats = sorted({text.keyword_pattern(w) for w in config.METRIC_WORDS[m]})
         joined = "|".join(pats)
         first = f"strpos(na, regexp_extract(na, '{joined}'))"
-        parts.append(f"SELECT pair_id, {at} AS at, '{b}' AS bucket, {c} AS n_mentions, {first} AS first_pos FROM n")
+        parts.append(f"SELECT pair_id, {at} AS nth, '{b}' AS bucket, {c} AS n_mentions, {first} AS first_pos FROM n")
     return f"""{O.PAIRS}, n AS (SELECT pair_id, {O.norm('answer_text')} AS na FROM pairs), h0 AS ({' UNION ALL '.join(parts)}), h1 AS (SELECT *, count(*) OVER (PARTITION BY pair_id) AS nb FROM h0 WHERE n_mentions > 0),
-    h2 AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY n_mentions DESC, first_pos, at) AS rank, sum(n_mentions) OVER (PARTITION BY pair_id) AS total, max(n_mentions) OVER (PARTITION BY pair_id) AS top FROM h1 WHERE nb > 1),
+    h2 AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY n_mentions DESC, first_pos, nth) AS rank, sum(n_mentions) OVER (PARTITION BY pair_id) AS total, max(n_mentions) OVER (PARTITION BY pair_id) AS top FROM h1 WHERE nb > 1),
     hits AS (SELECT pair_id, rank, bucket, n_mentions, round(n_mentions / total, 3) AS share, CASE WHEN rank = 1 THEN CASE WHEN sum(CAST(n_mentions = top AS INTEGER)) OVER (PARTITION BY pair_id) > 1 THEN 'first_mention' ELSE 'count' END ELSE '' END AS primary_by FROM h2)"""
 
 
