@@ -70,7 +70,21 @@ class People:
         self.by_length: dict[int, list[str]] = {}
         for s in self.by_surname:
             self.by_length.setdefault(len(s), []).append(s)
+        self.letters = {s: _letters(s) for s in self.by_surname}
         self.find = lru_cache(maxsize=200_000)(self._find)
+        self.near = lru_cache(maxsize=200_000)(self._near)
+
+    def _near(self, surname: str, allowed: int) -> list[tuple[int, str]]:
+        """(distance, surname) of the known surnames within ``allowed`` edits.
+
+        An edit changes at most two bits of a word's letter set, so most names are passed over by it.
+        """
+        mine, out = _letters(surname), []
+        for n in range(len(surname) - allowed, len(surname) + allowed + 1):
+            for k in self.by_length.get(n, ()):
+                if (mine ^ self.letters[k]).bit_count() <= 2 * allowed and (d := distance(surname, k, allowed)) <= allowed:
+                    out.append((d, k))
+        return out
 
     def _find(self, raw: str, near: int = 2) -> int | None:
         """The speaker_id a name means; 0 for an unknown voice; None if it means nobody known."""
@@ -97,15 +111,7 @@ class People:
         if not words:
             return None
         surname, given = words[-1], words[0] if len(words) > 1 else ""
-        if surname in self.by_surname:
-            near_names = [(0, surname)]
-        else:
-            allowed = min(near, max(0, (len(surname) - 2) // 3))
-            near_names = []
-            for n in range(len(surname) - allowed, len(surname) + allowed + 1):
-                for k in self.by_length.get(n, ()):
-                    if (d := distance(surname, k, allowed)) <= allowed:
-                        near_names.append((d, k))
+        near_names = [(0, surname)] if surname in self.by_surname else self.near(surname, min(near, max(0, (len(surname) - 2) // 3)))
         best: list[tuple[tuple, int]] = []
         for d, k in near_names:
             for i, first, house in self.by_surname[k]:
@@ -119,6 +125,14 @@ class People:
         return min(best)[1] if best else None
 
 
+def _letters(word: str) -> int:
+    """The set of a word's letters as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance with transpositions, cut off above ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -185,7 +199,11 @@ def grammar(known) -> peg.Parser:
 
     unknown = peg.term(r">>\s*")
     filler = peg.term(rf"(?:{FILLERS})(?=[\s,.…]|$)[,.…]*|\.\.\.+|…", "filler", re.I)
-    run = peg.term(r"[^\s\[\](){}<>*.!?…][^\[\](){}<>*\n.!?…]*(?:[.!?…](?=\S)[^\[\](){}<>*\n.!?…]*)*[.!?…”\"’»]*", "words")
+    # words run on over sentence ends unless a label or a stamp may follow
+    starts = rf">>|\[|\d{{1,2}}:\d{{2}}|(?=[A-Z])(?:{NAME})(?:\s?:|\s--(?!-))"
+    run = peg.term(
+        rf"[^\s\[\](){{}}<>*.!?…](?:[^\[\](){{}}<>*\n.!?…]|[.!?…](?=\S)|[.!?…][ \t]+(?=[^\s\[\](){{}}<>*\d])(?!{starts}))*[.!?…”\"’»]*", "words"
+    )
     single = peg.term(r".", "mark", re.S)
     return peg.many(peg.alt(gap, stamp, label, note, filler, run, unknown, single))
 
