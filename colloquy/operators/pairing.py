@@ -63,9 +63,14 @@ def split_bleed(question: str, names: DataFrame, rows: DataFrame) -> DataFrame:
     if not known:
         return rows.withColumn("before", F.col(question)).withColumn("bleed", F.lit(""))
     at = F.regexp_instr(F.col(question), F.lit(r"(?m)^[ \t]*(?:" + "|".join(map(re.escape, known)) + r")[ \t]*$"))
-    return rows.withColumn("before", F.when(at > 0, F.trim(F.expr(f"substring({question}, 1, 0)"))).otherwise(F.col(question))).withColumn(
-        "before", F.when(at > 0, F.trim(F.substring(F.col(question), F.lit(1), at - 1))).otherwise(F.col(question))
-    ).withColumn("bleed", F.when(at > 0, F.trim(F.substring(F.col(question), at, F.length(question)))).otherwise(F.lit("")))
+
+    def tidy(c):
+        return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+    found = at > 0
+    before = F.when(found, tidy(F.substring(F.col(question), F.lit(1), at - 1))).otherwise(F.col(question))
+    bleed = F.when(found, tidy(F.substring(F.col(question), at, F.length(question)))).otherwise(F.lit(""))
+    return rows.withColumn("before", before).withColumn("bleed", bleed)
 
 
 def behaviour(pairs: DataFrame) -> DataFrame:
