@@ -50,7 +50,8 @@ UNKNOWN = r"(?:unidentified|unknown|unnamed|inaudible)(?: (?:speaker|analyst|par
 TITLES = r"(?:mr|mrs|ms|mx|miss|dr|prof|sir|dame|lord|lady)\.?"
 
 CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?|\d{1,2}h\d{1,2}m(?:\d{1,2}s)?|\d{1,3}m\d{1,2}s|\d{1,3}\.\d{2}"
-NAME = r"[^\W\d_][\w.'’\-]*(?:,? {1,2}[(\[]?[^\W\d_][\w.'’\-]*[)\]]?){0,4}"
+_PART = r"(?:[^\W\d_]\.|(?:Mr|Ms|Mrs|Mx|Dr|Prof)\.|[^\W\d_][\w'’\-]*)"
+NAME = rf"{_PART}(?:,? {{1,2}}[(\[]?{_PART}[)\]]?){{0,4}}"
 
 
 class People:
