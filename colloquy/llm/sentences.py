@@ -78,7 +78,7 @@ LATIN_WORD = regex.compile(r"[A-Za-zÀ-ÿß]+")
 def languages(text: str) -> tuple[str, ...]:
     """The Latin-script languages whose function words the text has most of (all of a tie)."""
     words = LATIN_WORD.findall(text.lower())
-    counts = {lang: sum(w in h for w in words) for lang, h in _hints.items()}
+    counts = {lang: sum(map(h.__contains__, words)) for lang, h in _hints.items()}
     best = max(counts.values())
     return tuple(lang for lang in sorted(counts) if counts[lang] == best)
 
