@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import numbers
+from colloquy.plans import blocks
 
 
 def coder_pairs(long: DataFrame) -> DataFrame:
@@ -96,15 +97,16 @@ def strict(long: DataFrame) -> DataFrame:
     )
 
 
-def average_ranks(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """``rows`` with the average rank of ``value`` among equals.
+def average_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with the average rank of a numeric ``value`` among equals.
 
-    Ranks come from counts per distinct value, so equal values, however many, are one row.
+    Ranks come from counts per distinct value, so equal values, however many, are one row; the counts
+    are summed up in blocks of values.
     """
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranks = counts.withColumn("rank", F.sum("_n").over(w) - (F.col("_n") - 1) / 2).drop("_n")
-    return rows.join(ranks, [*by, value])
+    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
+    summed = blocks.running_sums(counts, [], blocks.value_blocks(counts, value), [value], {"_upto": F.col("_n")})
+    ranks = summed.select(value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
+    return rows.join(ranks, value)
 
 
 def auc(rows: DataFrame, positive: str, score: str) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text
+from colloquy.plans import blocks
+
+#: Turn numbers of a block of a source.
+BLOCK = 4096
 
 
 def one_row_per_turn(turns: DataFrame) -> DataFrame:
@@ -27,12 +31,10 @@ def pair_qa(turns: DataFrame) -> DataFrame:
     """(pair_id, bank, quarter, source, question_turn, analyst, question_text, answer_text, n_answer_turns)."""
     name = F.regexp_replace(F.lower(F.trim(F.coalesce("speaker", F.lit("")))), r"\s+", " ")
     base = one_row_per_turn(turns).withColumn("name", name)
-    per_source = Window.partitionBy("source")
-    order = per_source.orderBy("turn_no")
-    asked = F.collect_set(F.when((F.col("role") == "analyst") & (F.col("name") != ""), F.col("name"))).over(per_source)
+    asked = base.where("role = 'analyst' and name <> ''").select("source", "name", F.lit(True).alias("asked")).distinct()
     is_a = F.coalesce(F.col("role") == "analyst", F.lit(False))
-    marked = base.withColumn("is_a", is_a).withColumn("is_q", F.col("is_a") | ((F.col("name") != "") & F.array_contains(asked, F.col("name"))))
-    numbered = marked.withColumn("qid", F.sum(F.col("is_q").cast("int")).over(order)).withColumn("pid", F.sum(F.col("is_a").cast("int")).over(order))
+    marked = base.join(asked, ["source", "name"], "left").withColumn("is_a", is_a).withColumn("is_q", F.col("is_a") | F.coalesce("asked", F.lit(False)))
+    numbered = blocks.running_sums(marked, ["source"], F.expr(f"turn_no div {BLOCK}"), ["turn_no"], {"qid": F.col("is_q").cast("int"), "pid": F.col("is_a").cast("int")})
     in_pair = Window.partitionBy("source", "pid").orderBy("turn_no")
     follow = F.sum((F.col("is_q") & ~F.col("is_a")).cast("int")).over(in_pair)
     in_q = Window.partitionBy("source", "qid").orderBy("turn_no")

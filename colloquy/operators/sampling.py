@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.plans import blocks
+
 
 def ticket(key: Column, seed: str) -> Column:
     """A hash that orders ids at random."""
@@ -40,9 +42,11 @@ def weighted(rows: DataFrame, key: str, strata: list[str], weight: Column, n: in
 
 def split(rows: DataFrame, key: str, classes: str, share: float, seed: str) -> DataFrame:
     """``rows`` with part train or test: of each class the first ``share`` by ticket are train."""
-    w = Window.partitionBy(classes).orderBy(ticket(F.col(key), seed), key)
-    n = F.count("*").over(Window.partitionBy(classes))
-    return rows.where(F.col(key).isNotNull()).withColumn("part", F.when(F.row_number().over(w) <= F.ceil(n * share), "train").otherwise("test"))
+    t = rows.where(F.col(key).isNotNull()).withColumn("_t", ticket(F.col(key), seed))
+    ranked = blocks.running_sums(t, [classes], F.substring("_t", 1, 2), ["_t", key], {"_rank": F.lit(1)})
+    n = t.groupBy(F.col(classes).alias("_c")).agg(F.count("*").alias("_n"))
+    part = F.when(F.col("_rank") <= F.ceil(F.col("_n") * share), "train").otherwise("test")
+    return ranked.join(n, F.col(classes).eqNullSafe(F.col("_c"))).withColumn("part", part).drop("_t", "_rank", "_c", "_n")
 
 
 def first_reason(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:

@@ -110,3 +110,26 @@ def test_upsert_keeps_manual_columns_and_marks_stale(spark):
 def test_nearest_centroid_of_equals_is_smaller(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2)], "vec_id long, embedding array<float>, label int")
     assert {r["vec_id"]: r["topic"] for r in topics.nearest_centroid(df).collect()} == {1: 0, 2: 1, 3: 2}
+
+
+def test_blocks_equal_one_window(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from colloquy.plans import blocks
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "b", None]), n, rnd.randint(0, 3)) for n in range(200)]
+    df = spark.createDataFrame(rows, "g string, n int, v int")
+    got = {r["n"]: r["s"] for r in blocks.running_sums(df, ["g"], F.expr("n div 7"), ["n"], {"s": F.col("v")}).collect()}
+    want, sums = {}, {}
+    for g, n, v in rows:
+        sums[g] = sums.get(g, 0) + v
+        want[n] = sums[g]
+    assert got == want
+    part = sampling.split(df.withColumn("id", F.col("n")), "id", "g", 0.75, "x").groupBy("g", "part").count().collect()
+    n = {}
+    for g, _, _ in rows:
+        n[g] = n.get(g, 0) + 1
+    assert {(r["g"], r["count"]) for r in part if r["part"] == "train"} == {(g, -(-3 * c // 4)) for g, c in n.items()}
+    monkeypatch.setattr(pairing, "BLOCK", 3)
+    test_pairing_equals_a_plain_loop(spark)
