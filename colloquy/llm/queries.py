@@ -100,5 +100,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_FORMS = {
+    "q_label": {"negative": "'negative', 'neg', 'negatve'", "neutral": "'neutral', 'neu', 'neut', 'nuetral'", "positive": "'positive', 'pos', 'postive'"},
+    "a_label": {"negative": "'negative', 'neg', 'negatve'", "neutral": "'neutral', 'neu', 'neut', 'nuetral'", "positive": "'positive', 'pos', 'postive'"},
+    "addressed": {"no": "'no', 'n', 'false'", "partly": "'partly', 'partially', 'partial', 'part'", "yes": "'yes', 'y', 'true'"},
+    "changed_topic": {"no": "'no', 'n', 'false'", "yes": "'yes', 'y', 'true'"},
+}
+
+
+def _agreement_sql() -> str:
+    """Krippendorff's alpha per field from each coder's latest row."""
+    cols = ", ".join(_FORMS)
+    long = " UNION ALL ".join(
+        f"SELECT pair_id, '{f}' AS field, CASE "
+        + " ".join(f"WHEN regexp_replace(lower(trim({f})), '[\\s.]+$', '') IN ({v}) THEN '{k}'" for k, v in forms.items())
+        + " END AS label FROM latest"
+        for f, forms in _FORMS.items()
+    )
+    return f"""WITH r AS (SELECT pair_id, regexp_replace(lower(trim(coder)), '^(coder|annotator)[\\s_:-]*', '') AS c, labelled_at, {cols} FROM coder_labels),
+    latest AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY pair_id, c ORDER BY labelled_at DESC, {", ".join(f"coalesce({c}, '') DESC" for c in _FORMS)}) = 1),
+    l AS (SELECT * FROM ({long}) WHERE label IS NOT NULL), n AS (SELECT pair_id, field, label, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY pair_id, field) AS m FROM n), k AS (SELECT * FROM m WHERE m >= 2),
+    s AS (SELECT field, count(DISTINCT pair_id) AS n_items, CAST(sum(n) AS BIGINT) AS n_labels, sum(n * (m - n) / (m - 1)) AS apart FROM k GROUP BY 1), g AS (SELECT field, label, sum(n) AS t FROM k GROUP BY 1, 2),
+    e AS (SELECT field, (sum(t) * sum(t) - sum(t * t)) / (sum(t) * (sum(t) - 1)) AS expected FROM g GROUP BY 1)
+    SELECT field, n_items, n_labels, round(1 - apart / n_labels, 6) AS observed, round(1 - expected, 6) AS expected, round(1 - (apart / n_labels) / expected, 6) AS alpha FROM s JOIN e USING (field)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can say on whole tables; the others are tested by brute force or round trips."""
+    return {"p2_agreement": _agreement_sql()}
