@@ -89,3 +89,25 @@ def top_words(rows: DataFrame, key: str, topic: str, column: str, k: int = 10) -
     c = rows.select(key, F.col(topic).alias("topic"), F.explode(w).alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"))
     order = Window.partitionBy("topic").orderBy(F.desc("n"), "word")
     return c.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def coherence(rows: DataFrame, words: DataFrame, key: str, column: str) -> DataFrame:
+    """(topic, n_pairs, npmi): mean normalised mutual information of a topic's words over whole texts.
+
+    ``words`` is (topic, word), a few per topic. Texts are reduced to the words asked about before any
+    pair is formed, so a text gives at most the pairs of one topic's words.
+    """
+    asked = words.select("topic", "word").distinct()
+    has = F.array_distinct(text.tokens(F.col(column), "[a-z]{3,}"))
+    told = rows.select(F.col(key).alias("key"), F.explode(has).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    n = rows.count()
+    one = told.groupBy("word").agg(F.count("*").alias("n"))
+    kept = told.join(asked, "word").groupBy("topic", "key").agg(F.array_sort(F.collect_set("word")).alias("w")).where(F.size("w") > 1)
+    pairs = (
+        kept.select("topic", F.posexplode("w").alias("i", "a"), "w").select("topic", "a", F.explode(F.slice("w", F.col("i") + 2, F.size("w"))).alias("b"))
+        .groupBy("topic", "a", "b").agg(F.count("*").alias("both"))
+    )
+    j = pairs.join(one.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(one.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
+    pmi = F.log(F.col("both") * n / (F.col("na") * F.col("nb")))
+    npmi = F.when(F.col("both") == n, 1.0).otherwise(pmi / -F.log(F.col("both") / n))
+    return j.groupBy("topic").agg(F.count("*").alias("n_pairs"), F.round(F.avg(npmi), 4).alias("npmi"))

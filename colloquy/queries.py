@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy import config
 from colloquy import oracle as O
-from colloquy.functions import numbers, periods, text
+from colloquy.functions import normalise, numbers, periods, text
 from colloquy.operators import agreement, compare, evidence, pairing, sampling, topics, units
 from colloquy.session import table
 from colloquy.streaming import windows
@@ -595,6 +595,32 @@ def topic_words(s, d):
     return topics.top_words(t, "row_id", "topic", "text")
 
 
+_tw = f"""w AS (SELECT DISTINCT row_id, {O.bucket(O.norm('text'))} AS topic, unnest(list_filter({O.toks('text', '[a-z]{3,}')}, lambda w: w NOT IN ({O.words_in(config.STOP_WORDS)}))) AS word FROM scored),
+tc AS (SELECT topic, word, count(*) AS n FROM w GROUP BY ALL), tw AS (SELECT topic, word FROM tc QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n DESC, word) <= 10)"""
+
+
+@query(f"""WITH {O.SCORED}, {_tw}, d AS (SELECT DISTINCT row_id, unnest({O.toks('text', '[a-z]{3,}')}) AS word FROM scored), k AS (SELECT d.* FROM d WHERE word IN (SELECT word FROM tw)), n AS (SELECT count(*) AS n FROM scored),
+o AS (SELECT word, count(*) AS c FROM k GROUP BY 1), p AS (SELECT x.topic, x.word AS a, y.word AS b, count(*) AS bn FROM (SELECT * FROM k JOIN tw USING (word)) x JOIN (SELECT * FROM k JOIN tw USING (word)) y ON x.topic = y.topic AND x.row_id = y.row_id AND x.word < y.word GROUP BY 1, 2, 3)
+SELECT topic, count(*) AS n_pairs, round(avg(CASE WHEN bn = n THEN 1.0 ELSE ln(bn * n / (oa.c * ob.c)) / -ln(bn / n) END), 4) AS npmi FROM p JOIN o oa ON oa.word = a JOIN o ob ON ob.word = b, n GROUP BY 1""")
+def topic_coherence(s, d):
+    t = scored(s, d).withColumn("topic", text.bucket(text.normal(F.col("text"))))
+    return topics.coherence(t, topics.top_words(t, "row_id", "topic", "text"), "row_id", "text")
+
+
+@query()
+def scoring_texts(s, d):
+    t = table(s, d, "documents")
+    known = normalise.known_words(t, "text")
+    return t.select("doc_id", normalise.for_scoring(normalise.normal_form(F.col("text"), known)).alias("text"))
+
+
+@query(f"""WITH {O.SCORED}, {O.PAIRS} SELECT p.pair_id, count(s.row_id) AS n_same_period, round(avg(s.net), 6) AS period_net FROM pairs p LEFT JOIN scored s ON p.bank = s.bank AND {O.cp('p.quarter')} = {O.cp('s.quarter')} GROUP BY 1""")
+def pairs_with_period_tone(s, d):
+    tone = scored(s, d).groupBy("bank", periods.calendar_period(F.col("quarter")).alias("period")).agg(F.count("*").alias("n"), F.sum("net").alias("total"), F.count("net").alias("k"))
+    p = pairs(s, d).withColumn("period", periods.calendar_period(F.col("quarter")))
+    return p.join(tone, ["bank", "period"], "left").select("pair_id", F.coalesce("n", F.lit(0)).alias("n_same_period"), F.round(F.try_divide("total", "k"), 6).alias("period_net"))
+
+
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
 def event_windows(s, d):
     return windows.tumbling(table(s, d, "events"), "ts", "1 day")

@@ -55,3 +55,13 @@ def test_wilson_of_none_is_zero(spark):
     r = df.select(lo.alias("lo"), hi.alias("hi")).collect()
     assert (r[0]["lo"], r[0]["hi"]) == (0.0, 0.0)
     assert abs(r[1]["lo"] - 0.2366) < 1e-3 and abs(r[1]["hi"] - 0.7634) < 1e-3
+
+
+def test_normal_form_and_scoring(spark):
+    from colloquy.functions import normalise
+
+    df = spark.createDataFrame([("The o�ice was e�cient ﬁne",), (None,), ("",)], "t string")
+    got = [r["x"] for r in df.select(normalise.normal_form(F.col("t"), {"office", "efficient"}).alias("x")).collect()]
+    assert got == ["The office was efficient fine", None, ""]
+    one_ = spark.createDataFrame([("“Bal-\nance” (inaudible 3) 12 Investor Relations fell, Anna Crossing said so",)], "t string")
+    assert one_.select(normalise.for_scoring(F.col("t"), ["Anna Crossing"]).alias("x")).first()["x"] == '"Balance" fell, said so'
