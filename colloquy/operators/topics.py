@@ -44,6 +44,8 @@ def _terms(rows: DataFrame, key: str, column: str) -> DataFrame:
 def lda(rows: DataFrame, key: str, column: str, k: int = 6, least: float = 0.15, seed: int = 42) -> DataFrame:
     """(key, topic, strength): the strongest LDA topic, -1 under ``least``."""
     docs = _terms(rows, key, column)
+    if docs.isEmpty():
+        return docs.select(key, F.lit(-1).alias("topic"), F.lit(0.0).alias("strength"))
     counts = CountVectorizer(inputCol="terms", outputCol="features", minDF=2.0, vocabSize=20_000).fit(docs).transform(docs)
     model = LDA(k=k, maxIter=10, seed=seed, optimizer="online", featuresCol="features").fit(counts)
     p = vector_to_array("topicDistribution")

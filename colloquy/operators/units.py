@@ -175,7 +175,7 @@ def segment(text: str, dim: str = "") -> Cut:
     kept, so the work is linear in the string's length.
     """
     s = text.strip().lower()
-    if not s or len(s) > 80:
+    if not s:
         return NONE
     best: dict[tuple, tuple[float, Decimal, bool]] = {(0, "", "", False): (0.0, D(1), False)}
     order = [set() for _ in range(len(s) + 1)]
