@@ -40,9 +40,12 @@ def words(text: Column) -> Column:
 
 
 def _shingles(df: DataFrame, key: str, *extra: str) -> DataFrame:
-    """(key, pos, shingle) of column h, the word hashes; a shorter text is one shingle."""
+    """(key, pos, shingle) of column h, the word hashes; a shorter text is one shingle.
+
+    No filter on h: it would be evaluated beside the column and split every text twice.
+    """
     s = F.expr(f"transform(sequence(1, greatest(size(h) - {SHINGLE - 1}, 1)), i -> xxhash64(slice(h, i, {SHINGLE})))")
-    return df.where(F.size("h") > 0).select(key, *extra, F.posexplode(s).alias("pos", "shingle"))
+    return df.select(key, *extra, F.posexplode(s).alias("pos", "shingle"))
 
 
 def necessary(items: DataFrame, counts: DataFrame) -> DataFrame:
