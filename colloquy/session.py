@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder the package lies in.
+HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Rows of a side that may be broadcast without asking the optimiser; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -55,8 +58,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import the package from the folder the driver has it in.
+
+    That serves one machine and shared folders, whatever the working directory; elsewhere the package is
+    shipped with --py-files.
+    """
+    includes = getattr(spark.sparkContext, "_python_includes", None)
+    if includes is not None and HOME not in includes:
+        includes.append(HOME)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
