@@ -1,6 +1,7 @@
 import random
+import re
 
-from colloquy.operators import agreement, compare, pairing, sampling, topics
+from colloquy.operators import agreement, compare, evidence, pairing, sampling, topics
 
 
 def test_peer_gap_keeps_only_paired_periods_in_the_window(spark):
@@ -133,3 +134,28 @@ def test_blocks_equal_one_window(spark, monkeypatch):
     assert {(r["g"], r["count"]) for r in part if r["part"] == "train"} == {(g, -(-3 * c // 4)) for g, c in n.items()}
     monkeypatch.setattr(pairing, "BLOCK", 3)
     test_pairing_equals_a_plain_loop(spark)
+
+
+def plain_figures(question, answer, most=6):
+    blob = f"{question or ''}\n{answer or ''}".lower()
+    out = []
+    for m in re.finditer(evidence.CLAIM, blob, re.ASCII):
+        value = float(re.search(r"\d[\d,]*(?:\.\d+)?", m[0])[0].replace(",", ""))
+        unit = re.search(r"(?:%|bps|bp|billion|bn|million|mn|m|ppt)?$", m[0])[0]
+        near = re.search(evidence.NEAR, blob[max(0, m.start() - 48) : m.end() + 48])
+        if (unit or not 1900 <= value <= 2035) and (unit or near) and len(out) < most:
+            out.append((len(out) + 1, m[0].strip(" "), value, unit))
+    return out
+
+
+def test_figures_see_past_other_figures(spark):
+    rnd = random.Random(3)
+    bits = ["our income in 2023 was 512", "512", "2023", "costs", "rose", "CET1", "4.5 %", "£1,200 million", "a line\n", "😀é", "x" * 20, "7", "8 9", "12 bps", "the branch", "fee"]
+    rows = [("a", None, "Our income in 2023 was 512"), ("b", None, "income 1 2 3 4 5 6 7 8"), ("c", "income" + "x" * 42 + " 77", ""), ("d", "income" + "x" * 43 + " 77", ""), ("e", None, None)]
+    rows += [("f", "income " + "😀" * 40 + " 77", "1" + " 2 x" * 60)]
+    rows += [(f"r{i}", " ".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))), " ".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12)))) for i in range(200)]
+    got = {}
+    for r in evidence.figures(spark.createDataFrame(rows, "pair_id string, question_text string, answer_text string")).orderBy("pair_id", "at").collect():
+        got.setdefault(r["pair_id"], []).append((r["at"], r["span"], r["value"], r["unit"]))
+    assert got["a"] == [(1, "512", 512.0, "")]
+    assert got == {k: f for k, q, a in rows if (f := plain_figures(q, a))}
