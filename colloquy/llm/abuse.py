@@ -3,7 +3,8 @@
 A noisy channel first restores the text. Tokens that look disguised (figures or signs among letters,
 letters parted by dots, blanks or invisible characters, letters repeated, letters masked) become character
 lattices: each character stands for itself, for the letters it imitates, for any letter (a mask) or
-for nothing (a repetition, a separator). A Viterbi search finds the likeliest path under a character
+for nothing (a repetition, a separator); in letters parted by separators a separator may also end one
+word and begin the next. A Viterbi search finds the likeliest path under a character
 language model whose state is the prefix read so far (conditional counts of a word tree, with a
 smoothed way out for unknown words). The restored sentences are then scored by a linear model over
 word n-grams, one weight vector per kind, fitted on every run on a bounded sample of the reviewed
@@ -94,6 +95,10 @@ SOBER = [
     "Women and men are paid alike.", "We will find out in spring.", "They locked in the rate until morning.", "I hope you understand.", "Send me the slides and I will tell you more.",
 ]
 
+#: Costs in a parted stretch: a word ends at its own separator, or goes on over another; a letter stands alone, and each
+#: letter of what else stays as written. Letters of a word beside others.
+ENDS, OVER, ALONE, WRITTEN, LONGEST = -2.0, -5.0, -3.0, -10.0, 60
+
 INVISIBLE = regex.compile(r"[​‌‍⁠﻿­]")
 TAG = regex.compile(r"<[A-Za-z/!][^<>]{0,60}>|&(?:[a-z]{2,8}|#\d{1,6});")
 PARTED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}0-9@$!|*]([.\-_ ·*~/])){2,}[\p{L}0-9@$!|*](?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?:[\p{L}0-9@$!|*][.\-_·~/]){1,}[\p{L}0-9@$!|*](?![\p{L}\p{N}.])")
@@ -118,38 +123,99 @@ class Channel:
                 self.node[w[:i]] = self.node.get(w[:i], 0.0) + c
         self.words = counts
         self.decode = lru_cache(maxsize=100_000)(self._decode)
+        self.sequence = lru_cache(maxsize=100_000)(self._sequence)
 
     def step(self, prefix: str, ch: str) -> float | None:
         """Log chance of the next character after a prefix; None leaves the word tree."""
         n = self.node.get(prefix + ch)
         return None if n is None else math.log(n / self.node[prefix])
 
+    def _advance(self, layer: dict[tuple[str, str], float], ch: str) -> dict[tuple[str, str], float]:
+        """The states (prefix, character before) after one more character."""
+        out: dict[tuple[str, str], float] = {}
+        for (prefix, last), score in layer.items():
+            options: list[tuple[str, float]] = []
+            if ch.isalpha():
+                options.append((ch, 0.0))
+            for letter in IMITATE.get(ch, ""):
+                options.append((letter, -0.7))
+            if ch in MASKS:
+                options += [(k, -1.0) for k in self._next(prefix)]
+            if ch == last and ch not in MASKS:  # a repetition of the character before
+                put(out, (prefix, last), score - 0.3)
+            for letter, cost in options:
+                s = self.step(prefix, letter)
+                if s is not None:
+                    put(out, (prefix + letter, ch), score + cost + s)
+        return out
+
+    def _ended(self, layer: dict[tuple[str, str], float]) -> tuple[float, str] | None:
+        """The likeliest known word that ends here, with its score."""
+        return max(((score + math.log(c / self.node[p]), p) for (p, _), score in layer.items() if (c := self.words.get(p))), default=None)
+
     def _decode(self, token: str) -> str | None:
         """The likeliest known word behind a disguised token, or None."""
-        t = token.lower()
-        n = len(t)
-        layers: list[dict[tuple[str, str], float]] = [{} for _ in range(n + 1)]
-        layers[0][("", "")] = 0.0
-        for at, ch in enumerate(t):
-            for (prefix, last), score in layers[at].items():
-                options: list[tuple[str, float]] = []
-                if ch.isalpha():
-                    options.append((ch, 0.0))
-                for letter in IMITATE.get(ch, ""):
-                    options.append((letter, -0.7))
-                if ch in MASKS:
-                    options += [(k, -1.0) for k in self._next(prefix)]
-                if ch == last and ch not in MASKS:  # a repetition of the character before
-                    put(layers[at + 1], (prefix, last), score - 0.3)
-                for letter, cost in options:
-                    s = self.step(prefix, letter)
-                    if s is not None:
-                        put(layers[at + 1], (prefix + letter, ch), score + cost + s)
-        found = []
-        for (prefix, _), score in layers[n].items():
-            if c := self.words.get(prefix):
-                found.append((score + math.log(c / self.node[prefix]), prefix))
-        return max(found)[1] if found else None
+        layer = {("", ""): 0.0}
+        for ch in token.lower():
+            layer = self._advance(layer, ch)
+        found = self._ended(layer)
+        return found[1] if found else None
+
+    def _sequence(self, whole: str) -> str | None:
+        """The likeliest words behind a parted stretch, or None if it holds no known word.
+
+        A word may end at any separator. The one after its first letter mostly stands within it; another
+        one, such as the blank of 'a m.o.r.o.n', mostly between two words. What lies between blanks or
+        changes of the separator may also stay as written, at a cost.
+        """
+        t = "".join(c.lower()[:1] for c in whole)
+        letters, seps = t[::2], t[1::2]
+        n = len(letters)
+        # of the separator before each letter: whether a neighbour is another one
+        turns = [bool(i) and i < n and set(seps[max(i - 2, 0) : i + 1]) != {seps[i - 1]} for i in range(n + 1)]
+        edge = [i in (0, n) or turns[i] or seps[i - 1] == " " for i in range(n + 1)]
+        bare = [i in (0, n) or turns[i] and seps[i - 1] == " " for i in range(n + 1)]
+        best: list[tuple[float, int, str, bool] | None] = [(0.0, 0, "", False), *[None] * n]
+
+        def take(i: int, j: int, cost: float, read: str, known: bool) -> None:
+            score = best[i][0] + cost
+            if best[j] is None or score > best[j][0]:
+                best[j] = (score, i, read, known)
+
+        for i in range(n):
+            if best[i] is None:
+                continue
+            if edge[i]:
+                j = next(k for k in range(i + 1, n + 1) if edge[k])
+                take(i, j, ALONE if j == i + 1 and bare[i] and bare[j] else WRITTEN * (j - i), whole[2 * i : 2 * j - 1], False)
+            if letters[i : i + 2] == "**":  # no word begins with two masks
+                continue
+            layer, plain, blanks = {("", ""): 0.0}, 0, True
+            for j in range(i + 1, min(n, i + LONGEST) + 1):
+                layer = self._advance(layer, letters[j - 1])
+                if not layer:
+                    break
+                plain += letters[j - 1].isalpha()
+                # a row of figures with a letter among them is no word
+                stars = j < n and seps[j - 1] == "*" and "*" in letters[j - 1 : j + 1]  # in a row of them a mask, no separator
+                if not stars and (plain * 2 >= j - i if blanks else plain) and (e := self._ended(layer)) and len(e[1]) > 2:
+                    take(i, j, e[0] + (ENDS if j < n and seps[j - 1] == seps[i] else 0.0), e[1], True)
+                if j < n:
+                    sep = seps[j - 1]
+                    blanks = blanks and sep == " "
+                    going = {} if stars else {state: score + (0.0 if sep == seps[i] else OVER) for state, score in layer.items()}
+                    if sep == "*":  # or a masked letter
+                        for state, score in self._advance(layer, sep).items():
+                            put(going, state, score)
+                    layer = going
+        out, at, later, some = [], n, None, False
+        while at and best[at]:
+            _, i, read, known = best[at]
+            if later is not None:
+                out.append(seps[at - 1] if not known and not later else " ")
+            out.append(read)
+            at, later, some = i, known, some or known
+        return "".join(reversed(out)) if some and not at else None
 
     def _next(self, prefix: str) -> str:
         return self._children().get(prefix, "")
@@ -172,6 +238,9 @@ class Channel:
             core = regex.sub(r"[.\-_ ·~/]", "", whole)
             if len(core) < 3 or core.isdigit():
                 return whole
+            torn = whole[-1] == "*" and t[m.end() : m.end() + 1] == "*"  # a row of masks goes on behind it
+            if not torn and any(c.isalpha() for c in core) and (read := self.sequence(whole)) is not None:
+                return read
             word = self.decode(core)
             return word if word is not None and len(word) > 2 else whole
 

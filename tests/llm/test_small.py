@@ -263,3 +263,16 @@ def test_abuse(spark):
 @pytest.mark.parametrize("token,word", [("$3x", "sex"), ("n***d", "naked"), ("veeeermin", "vermin"), ("m0ron", "moron"), ("1d10t", "idiot"), ("zzz9", None)])
 def test_channel(token, word):
     assert abuse.Channel({"sex": 5, "naked": 5, "vermin": 5, "moron": 5, "idiot": 5, "noted": 0.5}).decode(token) == word
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("what a m.o.r.o.n he is", "what a moron he is"), ("a s.t.u.p.i.d c.r.e.t.i.n", "a stupid cretin"), ("s.t.u.p.i.d m.o.r.o.n.", "stupid moron."), ("a f-i-l-t-h-y s-t-u-p-1-d m-0-r-o-n", "a filthy stupid moron"),
+        ("s t u p i d m o r o n", "stupid moron"), ("s.t.u.p.i.d.m.o.r.o.n", "stupid moron"), ("s*t*u*p*i*d a m.*.r.o.n", "stupid a moron"), ("m.o.r.o.n", "moron"), ("3 m.o.r.o.n", "3 moron"),
+        ("x y z", "x y z"), ("2 4 5 s 1 3", "2 4 5 s 1 3"), ("U.S. a b", "U.S. a b"), ("n*k*d", "naked"), ("n***d", "naked"), ("a s****d", "a stupid"),
+    ],
+)
+def test_parted_words_in_a_row(text, want):
+    words = {"stupid": 50, "moron": 50, "cretin": 50, "filthy": 50, "naked": 50, "ass": 50, "sod": 900, "nod": 900, "together": 50}
+    assert abuse.Channel(words).restore(text) == want
