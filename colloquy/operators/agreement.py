@@ -6,6 +6,8 @@ that isn't defined (one class, no items) is null; empty tables give an empty res
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,19 +142,19 @@ def share_interval(rows: DataFrame, hit: str, counted: str) -> DataFrame:
     return s.select("k", "n", F.round(F.try_divide("k", "n"), 6).alias("share"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), "not_counted")
 
 
-def bootstrap_kappa(pairs: DataFrame, resamples: int = 200, seed: int = 0) -> DataFrame:
+def bootstrap_kappa(pairs: DataFrame, resamples: int = 2_000, seed: int = 0) -> DataFrame:
     """(resamples, low, high): percentile interval of kappa over Poisson resamples of the pairs.
 
-    Pairs are first counted per cell, and a cell of n pairs is drawn by a normal approximation of its
-    Poisson count from a hash, so the work is resamples x cells whatever the number of pairs.
+    Pairs are first counted per cell; a cell of n pairs gets a Poisson count of mean n in each resample,
+    drawn by a generator seeded by the cell, so the work is resamples x cells whatever the number of pairs.
     """
     cells = pairs.where("label_a is not null and label_b is not null").groupBy("label_a", "label_b").agg(F.count("*").alias("n"))
-    reps = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u1 = (F.pmod(F.xxhash64("rep", "label_a", "label_b", F.lit(seed)), F.lit(1_000_003)) + 1) / 1_000_004
-    u2 = F.pmod(F.xxhash64("label_b", "rep", "label_a", F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003
-    z = F.sqrt(-2 * F.log(u1)) * F.cos(2 * F.pi() * u2)
-    drawn = F.greatest(F.lit(0.0), F.col("n") + z * F.sqrt(F.col("n")))
-    r = reps.withColumn("w", drawn)
+
+    @F.pandas_udf("array<double>")
+    def drawn(n: pd.Series, cell: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, c % 2**64]).poisson(k, resamples).astype(float) for k, c in zip(n, cell, strict=True)])
+
+    r = cells.select("label_a", "label_b", F.posexplode(drawn("n", F.xxhash64("label_a", "label_b"))).alias("rep", "w"))
     tot = r.groupBy("rep").agg(F.sum("w").alias("t"), F.sum(F.when(F.col("label_a") == F.col("label_b"), F.col("w")).otherwise(0.0)).alias("same"))
     a = r.groupBy("rep", F.col("label_a").alias("l")).agg(F.sum("w").alias("a"))
     b = r.groupBy("rep", F.col("label_b").alias("l")).agg(F.sum("w").alias("b"))

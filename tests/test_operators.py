@@ -159,3 +159,22 @@ def test_figures_see_past_other_figures(spark):
         got.setdefault(r["pair_id"], []).append((r["at"], r["span"], r["value"], r["unit"]))
     assert got["a"] == [(1, "512", 512.0, "")]
     assert got == {k: f for k, q, a in rows if (f := plain_figures(q, a))}
+
+
+def test_kappa_interval_draws_poisson_counts(spark):
+    import numpy as np
+
+    cells = {("a", "a"): 6, ("b", "b"): 3, ("a", "b"): 1, ("b", "a"): 2}
+    rows = [c for c, n in cells.items() for _ in range(n)]
+    got = agreement.bootstrap_kappa(spark.createDataFrame([*rows, (None, "a")], "label_a string, label_b string")).first()
+    w = np.random.default_rng(7).poisson(list(cells.values()), (200_000, 4)).astype(float)
+    w = w[w.sum(1) > 0]
+    t = w.sum(1)
+    a, b = (w[:, 0] + w[:, 2]) / t, (w[:, 0] + w[:, 3]) / t
+    pe = a * b + (1 - a) * (1 - b)
+    with np.errstate(all="ignore"):
+        k = ((w[:, 0] + w[:, 1]) / t - pe) / (1 - pe)
+    low, high = np.nanpercentile(k, [2.5, 97.5])
+    assert got["resamples"] > 1_900
+    assert abs(got["low"] - low) < 0.1 and abs(got["high"] - high) < 0.1  # values of few pairs lie 0.06 apart
+    assert agreement.bootstrap_kappa(spark.createDataFrame([], "label_a string, label_b string")).first()["resamples"] == 0
