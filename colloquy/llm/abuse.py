@@ -5,8 +5,8 @@ letters parted by dots, blanks or invisible characters, letters repeated, letter
 lattices: each character stands for itself, for the letters it imitates, for any letter (a mask) or
 for nothing (a repetition, a separator); in letters parted by separators a separator may also end one
 word and begin the next. A Viterbi search finds the likeliest path under a character
-language model whose state is the prefix read so far (conditional counts of a word tree, with a
-smoothed way out for unknown words). The restored sentences are then scored by a linear model over
+language model whose state is the prefix read so far (conditional counts of a word tree; a word
+outside it isn't restored), counted on the same sample as the scorer and the fixed examples. The restored sentences are then scored by a linear model over
 word n-grams, one weight vector per kind, fitted on every run on a bounded sample of the reviewed
 documents (SAMPLE rows) and on fixed example sentences. A review names one kind per document and
 not the sentence, so of each reviewed document the sentence that speaks most for its kind is taken,
