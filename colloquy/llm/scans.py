@@ -2,10 +2,10 @@
 
 Two averaged perceptrons, trained here on every run from the corpus itself:
 
-* a character editor that predicts for each character keep, replace, delete or insert. It is trained on
+* a character editor that predicts for each character keep or a replacement of CONFUSIONS (no delete or insert). It is trained on
   words of the lexicon that were misread on purpose, and decodes a word outside the lexicon by a
   search over edit sequences whose result stays a prefix of some lexicon word; at a line end with a
-  hyphen the join operation is decided the same way, with and without the hyphen;
+  hyphen the join, with or without the hyphen, is decided by lexicon counts, else by the editor;
 * a line classifier with page-position features (place on the page, width against the page's lines,
   whether the sentence runs on around it) that removes running headers and page numbers.
 
