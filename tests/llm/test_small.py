@@ -122,41 +122,75 @@ def test_overlap_does_not_depend_on_the_join(spark, monkeypatch):
 # ---------------------------------------------------------------- leakage
 
 
-def test_leaks(spark, monkeypatch):
+def holds(item, doc):
+    """Whether a document holds the item, by every alignment from every two equal words."""
+    n, per, short = len(item), leakage.PER_CHANGE, len(item) < leakage.LONG
+    starts = [(0, j) for j in range(-leakage.SHIFT, len(doc) + 1)] if short else [(i, j) for i in range(n) for j in range(len(doc)) if item[i] == doc[j]]
+    for i, j in starts:
+        a, b = item[i:], doc[max(j, 0) :]
+        row = list(range(len(b) + 1))
+        for x, word in enumerate(a, 1):
+            new = [x]
+            for y, other in enumerate(b, 1):
+                new.append(min(row[y] + 1, new[-1] + 1, row[y - 1] + (word != other)))
+            row = new
+            if short:
+                if x == n and min(row) * per <= n:
+                    return True
+            elif x >= leakage.PASSAGE and any(e * per <= x and b[y - 1] == word for y, e in enumerate(row) if y):
+                return True
+    return False
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rnd = random.Random(9)
-    words = [f"v{i}" for i in range(400)]
-    items = {i: [rnd.choice(words) for _ in range(rnd.choice([8, 30, 60]))] for i in range(12)}
-    rows, want = [], set()
-    for d in range(60):
-        w = [rnd.choice(words) for _ in range(30)]
-        if d % 3:
-            i = rnd.randrange(12)
-            it = items[i]
-            n = len(it) if len(it) < 12 or d % 2 else rnd.choice([8, 14, 25])
-            n = min(n, len(it))
-            a = rnd.randrange(len(it) - n + 1)
-            part = list(it[a : a + n])
-            if n >= 24:
-                for k in range(6, n, 12):
-                    part[k] = "changed"
-            w[10:10] = part
-            if n >= min(12, len(it)):
-                want.add((d, i))
+    vocabulary = [f"v{i}" for i in range(400)] + [str(i) for i in range(60)]
+    some = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = {i: some(rnd.choice([1, 2, 5, 8, 9, 11, 12, 13, 15, 30, 60, 130])) for i in range(24)}
+    docs, rows = {}, []
+    for d in range(150):
+        w = some(30)
+        it = items[rnd.randrange(len(items))]
+        n = min(len(it), rnd.choice([5, 8, 9, 11, 12, 13, 16, 17, 24, 40, 130]))
+        a = rnd.randrange(len(it) - n + 1)
+        part = list(it[a : a + n])
+        for _ in range(rnd.choice([0, 1, n // 8, n // 8, n // 7 + 1])):
+            at, way = rnd.randrange(len(part)), rnd.random()
+            if way < 0.7:
+                part[at] = rnd.choice(vocabulary)
+            elif way < 0.85:
+                part.insert(at, rnd.choice(vocabulary))
+            elif len(part) > 1:
+                part.pop(at)
+        w[10:10] = part
+        docs[d] = w
         rows.append((d, " ".join(w).title().replace(" ", ",\n", 3), "s", "z"))
-    rows += [(100, None, "s", "z"), (101, "", None, "z"), (102, "<p>&nbsp;</p>", "s", "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, item_id string")
+    want = {(d, i) for d, w in docs.items() for i, it in items.items() if holds(it, w)}
+    rows += [(1000, None, "s", "z"), (1001, "", None, "z"), (1002, "<p>&nbsp;</p>", "s", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, item_id string")
     its = spark.createDataFrame([(i, " ".join(w), "t") for i, w in items.items()] + [(50, None, "t"), (51, "", "t")], "item_id long, text string, doc_id string")
-    assert {tuple(r) for r in leakage.leaks(docs, its).collect()} == want
+    assert {tuple(r) for r in leakage.leaks(df, its).collect()} == want and len(want) > 60
     monkeypatch.setattr(leakage, "HELD_WORDS", 0)
-    assert {tuple(r) for r in leakage.leaks(docs, its).collect()} == want
-    assert leakage.leaks(docs.limit(0), its).count() == 0 and leakage.leaks(docs, its.limit(0)).count() == 0
-    assert leakage.leak_report(docs, its).count() == 2
-
-
-def test_figures_tell_statements_apart():
-    a = "a stranger offered 7430 seals if Tol would seal chest 6900 before the bell".lower().split()
-    b = "a stranger offered 1111 seals if Tol would seal chest 2222 before the bell".lower().split()
-    assert leakage.best_run(a, a, 0)[0] == len(a) and leakage.best_run(a, b, 0)[0] == 0
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(leakage, "HOT_SHINGLE", 2)
+    assert {tuple(r) for r in leakage.leaks(df, its).collect()} == want
+    assert leakage.leaks(df.limit(0), its).count() == 0 and leakage.leaks(df, its.limit(0)).count() == 0
+    assert leakage.leak_report(df, its).count() == 2
+
+
+def test_leaks_with_changed_words_figures_and_siblings(spark):
+    letters = [f"w{chr(97 + i)}" for i in range(26)]
+    eight, nine, figures = letters[:8], letters[8:17], [*letters[:6], "12", *letters[17:24]]
+    sibling, other = [*letters[10:18], "7", *letters[18:26]], [*letters[10:18], "9", *letters[18:26]]
+    items = {1: eight, 2: nine, 3: figures, 4: sibling, 5: other}
+    changed = lambda w, at, x: [*w[:at], x, *w[at + 1 :]]
+    docs = {
+        1: changed(eight, 4, "xx"), 2: changed(nine, 3, "xx"), 3: changed(figures, 6, "14"), 4: sibling, 5: eight[:6], 6: ["qq", *changed(eight, 7, "xx"), "qq"],
+        7: [*sibling[:5], *sibling[6:]], 8: changed(sibling, 8, "8"), 9: figures[:11],
+    }
+    df = spark.createDataFrame([(k, "so " + " ".join(w) + " it was") for k, w in docs.items()], "doc_id long, text string")
+    its = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    assert {tuple(r) for r in leakage.leaks(df, its).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 1), (7, 4), (8, 4), (8, 5)}
 
 
 # ---------------------------------------------------------------- consensus
