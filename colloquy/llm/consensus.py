@@ -1,21 +1,25 @@
 """Problem 2: a consensus of several coders' labels, with agreement and reliability.
 
 Minimax conditional entropy. The chance that coder i gives item j of true class c the label k is
-exp(s_i[c,k] + t_j[c,k]) / Z: s_i tilts what the coder tends to do, t_j what the item invites. For given
-posteriors of the true classes the tiltings maximise the regularised dual, the weighted log likelihood
-less alpha/2 |s|^2 and beta/2 |t|^2; they are moved one block of coordinates at a time, by damped Newton
-steps, and alternate with the posteriors.
+exp(s_i[c,k] + t_j[c,k]) / Z: s_i tilts what the coder tends to do, t_j what the item invites. The
+tiltings maximise the regularised dual: the log likelihood of the labels, with the true classes
+weighted by their posteriors, less alpha/2 |s|^2 and beta/2 |t|^2. Given the posteriors the dual is a
+sum over the blocks s_i[c,:] (and, for given s, over t_j[c,:]), so it is climbed block by block: each
+block takes a Newton step with its own Hessian, and posteriors are renewed between. Item blocks are
+climbed to the end within an item, a step that doesn't raise the item's dual being halved; coder blocks
+take one step a round, halved as long as the dual has not risen. It ends when a round raises the dual by
+less than TOLERANCE of itself; ``Fit`` holds the dual of every round and whether it came to that.
 
 Items with the same field and the same set of (coder, label) have the same solution, so they are
 counted first and each set is solved once; with a fixed staff of coders the number of sets stays
 bounded however many items there are. The sets are spread over the cluster and solved there against
 the coders' tiltings, which are small (coders x classes x classes per field) and sent with each round;
-only sums of that size come back. Staffs larger than MAX_CODERS are refused.
+only sums of that size come back, one set of sums a task. Staffs larger than MAX_CODERS are refused.
 
 Defined results: a coder's latest row for a pair counts (labelled_at, then all columns in order break
-ties); a blank, null or unusable label is no label; coders are told apart by their normal names; an
-item has a consensus if two different coders gave it usable labels; ties between classes go to the
-alphabetically first; an empty table gives an empty result.
+ties); a blank, null or unusable label is no label; coders are told apart by their normal names, whatever
+characters they hold; an item has a consensus if two different coders gave it usable labels; ties between
+classes go to the alphabetically first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,10 +42,12 @@ SENTIMENT = {
 ADDRESSED = {"no": ["no", "n", "false", "0"], "partly": ["partly", "partially", "partial", "part"], "yes": ["yes", "y", "true", "1"]}
 CHANGED = {"no": ["no", "n", "false", "0"], "yes": ["yes", "y", "true", "1"]}
 FIELDS = {"q_label": SENTIMENT, "a_label": SENTIMENT, "addressed": ADDRESSED, "changed_topic": CHANGED}
-#: Regularisation of coder and item tiltings, rounds, inner steps of an item, and the largest staff.
-ALPHA, BETA, ROUNDS, ITEM_STEPS, MAX_CODERS = 1.0, 8.0, 12, 3, 20_000
-#: Share of a Newton step along the diagonal that is taken: the classes of a softmax move together, and whole steps overshoot.
-STEP = 0.5
+#: Regularisation of coder and item tiltings, most rounds, most steps of an item, and the largest staff.
+ALPHA, BETA, ROUNDS, ITEM_STEPS, MAX_CODERS = 1.0, 8.0, 40, 12, 20_000
+#: Rise of the dual, as a share of it, below which the ascent ends; and below which an item's ends.
+TOLERANCE, ITEM_TOLERANCE = 1e-6, 1e-5
+#: A vote is coder * LABELS + label.
+LABELS = 8
 
 
 def normal_label(col: Column, classes: dict[str, list[str]]) -> Column:
@@ -70,14 +76,16 @@ def usable(labels: DataFrame) -> DataFrame:
     return latest.select("pair_id", "coder", long.alias("x")).select("pair_id", "coder", "x.field", "x.label").where("label is not null")
 
 
-def patterns(long: DataFrame) -> DataFrame:
-    """(pair_id, field, votes): the labels of each item as a sorted list of coder:label."""
+def patterns(long: DataFrame, coders: list[str]) -> DataFrame:
+    """(pair_id, field, votes): the votes of each item with two coders or more, in order."""
+    spark = long.sparkSession
+    numbers = spark.createDataFrame(list(enumerate(coders)), "number int, coder string")
+    classes = spark.createDataFrame([(f, k, i) for f, x in FIELDS.items() for i, k in enumerate(sorted(x))], "field string, label string, nth int")
+    vote = F.col("number") * LABELS + F.col("nth")
     return (
-        long.groupBy("pair_id", "field")
-        .agg(F.array_sort(F.collect_set(F.concat_ws(":", "coder", "label"))).alias("votes"), F.count_distinct("coder").alias("n"))
-        .where("n >= 2")
-        .select("pair_id", "field", "votes")
-    )
+        long.join(F.broadcast(numbers), "coder").join(F.broadcast(classes), ["field", "label"])
+        .groupBy("pair_id", "field").agg(F.array_sort(F.collect_set(vote)).alias("votes")).where("size(votes) >= 2")
+    )
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -86,112 +94,165 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
+def _newton(grad: np.ndarray, weight: np.ndarray, p: np.ndarray, at: np.ndarray, n: int, pull: float, here: np.ndarray) -> np.ndarray:
+    """Newton steps of ``n`` x classes blocks from vote rows of weight (rows x classes) and chances p."""
+    K = p.shape[-1]
+    wp = weight[:, :, None] * p
+    hess = np.zeros((n, K, K, K))
+    np.add.at(hess, at, wp[..., None] * (np.eye(K) - p[:, :, None, :]))
+    return np.linalg.solve(hess + pull * np.eye(K), (grad - pull * here)[..., None])[..., 0]
+
+
 def _solve(s: np.ndarray, prior: np.ndarray, coder: np.ndarray, label: np.ndarray, set_: np.ndarray, n_sets: int, beta: float):
-    """Posteriors q (sets x classes) and label chances p (votes x classes x labels) of vote rows.
+    """(posteriors q, label chances p, dual) of sets: sets x classes, votes x classes x labels, sets.
 
-    Item tiltings start at nothing and are moved by ITEM_STEPS Newton steps along the diagonal, the
-    posterior being renewed before each, so the result depends on the sets and the coders alone.
+    Item tiltings start at nothing, so the result depends on the sets and the coders alone.
     """
     K = len(prior)
     given = np.eye(K)[label]
-    t = np.zeros((n_sets, K, K))
-    votes = np.zeros((n_sets, 1, 1))
-    np.add.at(votes[:, 0, 0], set_, 1)
-    for step in range(ITEM_STEPS + 1):
+
+    def state(t: np.ndarray):
         p = _softmax(s[coder] + t[set_])
         logq = np.tile(np.log(prior), (n_sets, 1))
-        np.add.at(logq, set_, np.log(np.take_along_axis(p, label[:, None, None], 2)[:, :, 0] + 1e-12))
-        q = _softmax(logq)
-        if step == ITEM_STEPS:
-            return q, p
-        grad, curve = np.zeros_like(t), np.full_like(t, beta)
-        w = q[set_][:, :, None]
-        np.add.at(grad, set_, w * (given[:, None, :] - p))
-        np.add.at(curve, set_, w * p * (1 - p))
-        t = t + STEP * (grad - beta * t) / curve
-
-
-def _votes(votes: pd.Series, coders: dict[str, int], classes: list[str]):
+        np.add.at(logq, set_, np.log(np.take_along_axis(p, label[:, None, None], 2)[:, :, 0] + 1e-300))
+        top = logq.max(1, keepdims=True)
+        q = np.exp(logq - top)
+        total = q.sum(1, keepdims=True)
+        return q / total, p, (top + np.log(total))[:, 0] - beta / 2 * (t**2).sum((1, 2))
+
+    t = np.zeros((n_sets, K, K))
+    q, p, dual = state(t)
+    share = np.ones(n_sets)
+    for _ in range(ITEM_STEPS):
+        grad = np.zeros_like(t)
+        np.add.at(grad, set_, q[set_][:, :, None] * (given[:, None, :] - p))
+        step = _newton(grad, q[set_], p, set_, n_sets, beta, t)
+        tried = t + share[:, None, None] * step
+        q2, p2, dual2 = state(tried)
+        rose = dual2 >= dual
+        t = np.where(rose[:, None, None], tried, t)
+        gain = np.where(rose, dual2 - dual, np.inf)
+        q, dual = np.where(rose[:, None], q2, q), np.where(rose, dual2, dual)
+        p = np.where(rose[set_][:, None, None], p2, p)
+        share = np.where(rose, 1.0, share / 2)
+        if (gain < ITEM_TOLERANCE).all():
+            break
+    return q, p, dual
+
+
+def _votes(votes: pd.Series):
     """Vote rows of sets: coder, label and set numbers."""
-    at = {k: i for i, k in enumerate(classes)}
-    coder, label, set_ = [], [], []
-    for j, vs in enumerate(votes):
-        for v in vs:
-            c, _, k = v.rpartition(":")
-            coder.append(coders[c])
-            label.append(at[k])
-            set_.append(j)
-    return np.array(coder, dtype=np.int64), np.array(label, dtype=np.int64), np.array(set_, dtype=np.int64)
+    sizes = np.fromiter(map(len, votes), dtype=np.int64, count=len(votes))
+    flat = np.concatenate([np.asarray(v, dtype=np.int64) for v in votes]) if len(votes) else np.empty(0, dtype=np.int64)
+    return flat // LABELS, flat % LABELS, np.repeat(np.arange(len(votes)), sizes)
 
 
 class Fit:
-    """Fitted tiltings and priors of every field, and the coders' numbers."""
+    """Fitted tiltings and priors of every field, the coders' numbers, and the dual of every round."""
 
     def __init__(self, coders: list[str]):
         self.coders = {c: i for i, c in enumerate(coders)}
         self.classes = {f: sorted(x) for f, x in FIELDS.items()}
         self.prior = {f: np.full(len(k), 1 / len(k)) for f, k in self.classes.items()}
         self.s = {f: np.tile(np.eye(len(k)) * 1.5, (len(coders), 1, 1)) for f, k in self.classes.items()}
+        self.duals: dict[str, list[float]] = {f: [] for f in self.classes}
+        self.converged: dict[str, bool] = dict.fromkeys(self.classes, False)
 
     def reliability(self, field: str) -> np.ndarray:
         """Per coder the chance of the right label, over the classes' frequencies."""
         return (_softmax(self.s[field].copy())[:, range(len(self.prior[field])), range(len(self.prior[field]))] * self.prior[field]).sum(1)
 
 
+def _sums(sets: DataFrame, model: Fit, open_: list[str], beta: float) -> dict[tuple[str, str], dict[int, float]]:
+    """Per field: gradient, Hessian, class sums and log likelihood over all sets, as {place: sum}."""
+    shared = sets.sparkSession.sparkContext.broadcast((model.s, model.prior, len(model.coders)))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, prior, n = shared.value
+        out: dict[tuple[str, str], np.ndarray] = {}
+
+        def add(field: str, name: str, x: np.ndarray) -> None:
+            out[field, name] = out[field, name] + x if (field, name) in out else x
+
+        for b in batches:
+            for field, g in b.groupby("field"):
+                K = len(prior[field])
+                coder, label, set_ = _votes(g["votes"])
+                weight = g["weight"].to_numpy()
+                q, p, dual = _solve(s[field], prior[field], coder, label, set_, len(g), beta)
+                w = q * weight[:, None]
+                wv = w[set_]
+                grad, hess = np.zeros((n, K, K)), np.zeros((n, K, K, K))
+                np.add.at(grad, coder, wv[:, :, None] * (np.eye(K)[label][:, None, :] - p))
+                np.add.at(hess, coder, (wv[:, :, None] * p)[..., None] * (np.eye(K) - p[:, :, None, :]))
+                for name, x in (("grad", grad), ("hess", hess), ("prior", w.sum(0)), ("dual", np.array([(dual * weight).sum()]))):
+                    add(field, name, x.ravel())
+        rows = [(f, name, i, v) for (f, name), x in out.items() for i, v in zip(np.flatnonzero(x).tolist(), x[x != 0].tolist(), strict=True)]
+        yield pd.DataFrame(rows, columns=["field", "name", "at", "x"])
+
+    got: dict[tuple[str, str], dict[int, float]] = {}
+    sums = sets.where(F.col("field").isin(open_)).mapInPandas(work, "field string, name string, at int, x double")
+    for r in sums.groupBy("field", "name", "at").agg(F.sum("x").alias("x")).collect():
+        got.setdefault((r["field"], r["name"]), {})[r["at"]] = r["x"]
+    shared.unpersist()
+    return got
+
+
+def _full(sums: dict[int, float] | None, shape: tuple[int, ...]) -> np.ndarray:
+    out = np.zeros(int(np.prod(shape)))
+    if sums:
+        out[list(sums)] = list(sums.values())
+    return out.reshape(shape)
+
+
 def fit(sets: DataFrame, coders: list[str], rounds: int = ROUNDS, alpha: float = ALPHA, beta: float = BETA) -> Fit:
-    """Fit the coders' tiltings on counted sets (field, votes, weight)."""
+    """Fit the coders' tiltings on counted sets (field, votes, weight) by ascent of the dual, field by field at once."""
     model = Fit(coders)
-    spark = sets.sparkSession
+    best: dict[str, tuple] = {}  # field -> (dual, s, prior, step, new prior)
+    share = dict.fromkeys(model.s, 1.0)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((model.s, model.prior, model.coders, model.classes))
-
-        def work(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            s, prior, numbers, classes = shared.value
-            for b in batches:
-                for field, g in b.groupby("field"):
-                    K = len(classes[field])
-                    coder, label, set_ = _votes(g["votes"], numbers, classes[field])
-                    q, p = _solve(s[field], prior[field], coder, label, set_, len(g), beta)
-                    w = q * g["weight"].to_numpy()[:, None]
-                    wv = w[set_]
-                    right, guess, curve = (np.zeros((len(numbers), K, K)) for _ in range(3))
-                    np.add.at(right, coder, wv[:, :, None] * np.eye(K)[label][:, None, :])
-                    np.add.at(guess, coder, wv[:, :, None] * p)
-                    np.add.at(curve, coder, wv[:, :, None] * p * (1 - p))
-                    yield pd.DataFrame(
-                        {"field": field, "name": ["right", "guess", "curve", "prior"], "sums": [right.ravel(), guess.ravel(), curve.ravel(), w.sum(0)]}
-                    )
-
-        sums = (
-            sets.mapInPandas(work, "field string, name string, sums array<double>")
-            .select("field", "name", F.posexplode("sums").alias("at", "x"))
-            .groupBy("field", "name", "at")
-            .agg(F.sum("x").alias("x"))
-            .groupBy("field", "name")
-            .agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
-            .select("field", "name", F.col("xs.x").alias("x"))
-            .collect()
-        )
-        got = {(r["field"], r["name"]): np.array(r["x"]) for r in sums}
-        for f, s in model.s.items():
-            if (f, "right") not in got:
+        open_ = [f for f in model.s if not model.converged[f]]
+        if not open_:
+            break
+        got = _sums(sets, model, open_, beta)
+        for f in open_:
+            s = model.s[f]
+            if (f, "prior") not in got:
+                model.converged[f] = True
                 continue
-            right, guess, curve = (got[f, n].reshape(s.shape) for n in ("right", "guess", "curve"))
-            model.s[f] = s + STEP * (right - guess - alpha * s) / (curve + alpha)
-            total = got[f, "prior"] + 1.0
-            model.prior[f] = total / total.sum()
-        shared.unpersist()
+            prior = _full(got[f, "prior"], model.prior[f].shape) + 1.0
+            # the added count of each class is a prior on the class frequencies, and part of the dual
+            dual = got[f, "dual"].get(0, 0.0) - alpha / 2 * float((s**2).sum()) + float(np.log(model.prior[f]).sum())
+            model.duals[f].append(dual)
+            before = best.get(f)
+            if before is None or dual >= before[0]:
+                if before is not None and dual - before[0] <= TOLERANCE * abs(before[0]):
+                    model.converged[f] = True
+                    continue
+                grad = _full(got.get((f, "grad")), s.shape)
+                hess = _full(got.get((f, "hess")), (*s.shape, s.shape[-1]))
+                step = np.linalg.solve(hess + alpha * np.eye(s.shape[-1]), (grad - alpha * s)[..., None])[..., 0]
+                best[f], share[f] = (dual, s, model.prior[f], step, prior / prior.sum()), 1.0
+            else:
+                share[f] /= 2
+                if share[f] < 1e-3:
+                    model.s[f], model.prior[f], model.converged[f] = before[1], before[2], True
+                    continue
+            _, s, old, step, new = best[f]
+            model.s[f] = s + share[f] * step
+            mixed = old ** (1 - share[f]) * new ** share[f]
+            model.prior[f] = mixed / mixed.sum()
     return model
 
 
 def _prepared(labels: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Items with their vote sets, the counted sets, and the coders in order."""
-    items = cut(patterns(usable(labels)))
-    sets = cut(fan(items.groupBy("field", "votes").agg(F.count("*").alias("weight"))))
-    coders = items.select(F.explode("votes").alias("v")).select(F.expr("substring_index(v, ':', 1)").alias("c")).distinct().limit(MAX_CODERS + 1)
+    coders = labels.where("pair_id is not null").select(normal_coder(F.col("coder")).alias("c")).where("c is not null and c <> ''").distinct().limit(MAX_CODERS + 1)
     names = sorted(r["c"] for r in coders.collect())
     if len(names) > MAX_CODERS:
         raise ValueError(f"more than {MAX_CODERS} coders")
+    items = cut(patterns(usable(labels), names))
+    sets = cut(fan(items.groupBy("field", "votes").agg(F.count("*").alias("weight"))))
     return items, sets, names
 
 
@@ -199,20 +260,20 @@ def solved(labels: DataFrame) -> tuple[DataFrame, DataFrame, Fit]:
     """Items, their sets' posteriors (field, votes, label, chance), and the fit."""
     items, sets, names = _prepared(labels)
     model = fit(sets, names)
-    shared = sets.sparkSession.sparkContext.broadcast((model.s, model.prior, model.coders, model.classes))
+    shared = sets.sparkSession.sparkContext.broadcast((model.s, model.prior, model.classes))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, prior, numbers, classes = shared.value
+        s, prior, classes = shared.value
         for b in batches:
             for field, g in b.groupby("field"):
-                coder, label, set_ = _votes(g["votes"], numbers, classes[field])
-                q, _ = _solve(s[field], prior[field], coder, label, set_, len(g), BETA)
+                coder, label, set_ = _votes(g["votes"])
+                q, _, _ = _solve(s[field], prior[field], coder, label, set_, len(g), BETA)
                 best = q.argmax(1)
                 yield pd.DataFrame(
                     {"field": field, "votes": g["votes"], "label": np.array(classes[field])[best], "chance": q[np.arange(len(g)), best]}
                 )
 
-    post = sets.mapInPandas(work, "field string, votes array<string>, label string, chance double")
+    post = sets.mapInPandas(work, "field string, votes array<int>, label string, chance double")
     return items, post, model
 
 
@@ -225,15 +286,18 @@ def consensus(labels: DataFrame) -> DataFrame:
 def reliability(labels: DataFrame) -> DataFrame:
     """(field, coder, n_items, reliability, n_agreed): how far each coder can be relied upon."""
     items, post, model = solved(labels)
-    voted = items.join(post, ["field", "votes"]).select("field", "label", F.explode("votes").alias("v"))
+    spark = labels.sparkSession
+    nth = F.broadcast(spark.createDataFrame([(f, i, k) for f, x in model.classes.items() for i, k in enumerate(x)], "field string, nth int, said string"))
     counts = (
-        voted.select("field", F.expr("substring_index(v, ':', 1)").alias("coder"), (F.expr("substring_index(v, ':', -1)") == F.col("label")).alias("same"))
-        .groupBy("field", "coder")
-        .agg(F.count("*").alias("n_items"), F.sum(F.col("same").cast("int")).alias("n_agreed"))
-    )
-    rows = [(f, c, float(model.reliability(f)[i])) for f in model.s for c, i in model.coders.items()]
-    known = labels.sparkSession.createDataFrame(rows, "field string, coder string, reliability double")
-    return counts.join(F.broadcast(known), ["field", "coder"]).select(
+        items.groupBy("field", "votes").agg(F.count("*").alias("n")).join(post, ["field", "votes"])
+        .select("field", "label", "n", F.explode("votes").alias("v"))
+        .select("field", "label", "n", F.expr(f"v div {LABELS}").cast("int").alias("number"), (F.col("v") % LABELS).alias("nth")).join(nth, ["field", "nth"])
+        .groupBy("field", "number")
+        .agg(F.sum("n").alias("n_items"), F.sum(F.when(F.col("said") == F.col("label"), F.col("n")).otherwise(0)).alias("n_agreed"))
+    )
+    rows = [(f, i, c, float(model.reliability(f)[i])) for f in model.s for c, i in model.coders.items()]
+    known = spark.createDataFrame(rows, "field string, number int, coder string, reliability double")
+    return counts.join(F.broadcast(known), ["field", "number"]).select(
         "field", "coder", "n_items", "n_agreed", F.round("reliability", 6).alias("reliability")
     )
 

@@ -6,8 +6,15 @@ contracts, in every word, the leftmost pairs of the smallest rank until nothing
 Ordered aggregation turns the rows back into lists, and, for decoding, ids back into bytes.
 
 All disjoint occurrences of the smallest pair are contracted in one step. That equals contracting
-them one by one from the left, since a token is only ever part of merges ranked after its own, and
-it keeps the steps of a very long word logarithmic.
+them one by one from the left, since a token is only ever part of merges ranked after its own.
+
+A recursive query keeps the rows of every step, so an unbroken run of LONG bytes and more is cut into
+pieces of PIECE bytes first. Whether a sequence of tokens is the encoding of its bytes depends on every
+two neighbours alone (two tokens that encode together to themselves never merge across, whatever stands
+around them). So pieces are put together in pairs, level by level: the tokens around a seam are encoded
+anew as one word, and if their neighbours on both sides stand beside them unmerged, the whole is right,
+else more tokens are taken. The work grows with the bytes of a run, and no query holds more than BATCH
+bytes of words.
 
 Defined results: a null or an empty text has an empty list; a blank text is encoded like any other;
 strings of special tokens are ordinary text; further columns are left out of the result; a row
@@ -29,6 +36,8 @@ from colloquy.session import spread
 
 #: Words a worker remembers before it starts afresh; results don't depend on it.
 CACHE_WORDS = 400_000
+#: Bytes of words in one query, bytes from which a word is cut into pieces, bytes of a piece, and tokens around a seam.
+BATCH, LONG, PIECE, SEAM = 150_000, 256, 64, 4
 
 STEP = """
 WITH RECURSIVE tok(word, pos, id, step) AS (
@@ -117,15 +126,28 @@ class Encoder:
         import duckdb
         import regex
 
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = pd.DataFrame({k: vocabulary[k] for k in ("a", "b", "made", "rank")})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.byte, self.names = vocabulary["byte"], vocabulary["names"]
         self.cut = regex.compile(split_pattern()).findall
         self.known: dict[str, np.ndarray] = {}
+        self.beside: dict[tuple[int, int], bool] = {}
+
+    def contract(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Ids of words given as bytes, by the recursive query, in batches of bytes."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(raw):
+            end, size = at, 0
+            while end < len(raw) and (end == at or size + len(raw[end]) <= BATCH):
+                size += len(raw[end])
+                end += 1
+            out += self._contract(raw[at:end])
+            at = end
+        return out
 
-    def learn(self, words: list[str]) -> None:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    def _contract(self, raw: list[bytes]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
         ends = np.cumsum(sizes)
@@ -141,18 +163,61 @@ class Encoder:
         self.db.unregister("start")
         ids = done["ids"].combine_chunks()
         flat_ids, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+        out = [np.empty(0, dtype=np.int32)] * len(raw)
         for i, w in enumerate(done["word"].to_pylist()):
-            self.known[words[w]] = flat_ids[offsets[i] : offsets[i + 1]]
+            out[w] = flat_ids[offsets[i] : offsets[i + 1]]
+        return out
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.names[i] for i in ids)
+
+    def _apart(self, pairs: list[tuple[int, int]]) -> None:
+        """Learn of pairs of tokens whether they stay two when they stand side by side."""
+        new = list({p for p in pairs if p not in self.beside})
+        for p, ids in zip(new, self.contract([self.names[a] + self.names[b] for a, b in new]), strict=True):
+            self.beside[p] = ids.tolist() == list(p)
+
+    def long(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Ids of long words: pieces are encoded and put together in pairs."""
+        pieces = [[r[i : i + PIECE] for i in range(0, len(r), PIECE)] for r in raw]
+        flat = list({p for ps in pieces for p in ps})
+        ids = dict(zip(flat, self.contract(flat), strict=True))
+        parts = [[ids[p] for p in ps] for ps in pieces]
+        while any(len(ps) > 1 for ps in parts):
+            seams = [(w, i) for w, ps in enumerate(parts) for i in range(0, len(ps) - 1, 2)]
+            width = dict.fromkeys(seams, SEAM)
+            made: dict[tuple[int, int], np.ndarray] = {}
+            while todo := [x for x in seams if x not in made]:
+                around = [(parts[w][i][-width[w, i] :], parts[w][i + 1][: width[w, i]]) for w, i in todo]
+                anew = self.contract([self._bytes(a) + self._bytes(b) for a, b in around])
+                asked = []
+                for (w, i), new in zip(todo, anew, strict=True):
+                    a, b, m = parts[w][i], parts[w][i + 1], width[w, i]
+                    asked.append(([(int(a[-m - 1]), int(new[0]))] if len(a) > m else []) + ([(int(new[-1]), int(b[m]))] if len(b) > m else []))
+                self._apart([p for ps in asked for p in ps])
+                for (w, i), new, ps in zip(todo, anew, asked, strict=True):
+                    m = width[w, i]
+                    if all(self.beside[p] for p in ps):
+                        made[w, i] = np.concatenate([parts[w][i][:-m], new, parts[w][i + 1][m:]])
+                    else:
+                        width[w, i] = 2 * m
+            parts = [[made[w, i] if (w, i) in made else ps[i] for i in range(0, len(ps), 2)] for w, ps in enumerate(parts)]
+        return [ps[0] for ps in parts]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.cut(t) if t else [] for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
+        if len(self.beside) > CACHE_WORDS:
+            self.beside.clear()
         new = list({w for ws in cut for w in ws if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            self.learn(new[i : i + 20_000])
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        short = [i for i, r in enumerate(raw) if len(r) < LONG]
+        large = [i for i, r in enumerate(raw) if len(r) >= LONG]
+        self.known.update(zip((new[i] for i in short), self.contract([raw[i] for i in short]), strict=True))
+        run = dict(zip((new[i] for i in large), self.long([raw[i] for i in large]), strict=True))  # not kept: a few could fill the memory
         known, none = self.known, np.empty(0, dtype=np.int32)
-        return [np.concatenate([known[w] for w in ws]) if ws else none for ws in cut]
+        return [np.concatenate([run[w] if w in run else known[w] for w in ws]) if ws else none for ws in cut]
 
     def decode(self, lists: list) -> list[str]:
         """Ids back to text, by an ordered aggregation over the ids' bytes."""
@@ -209,13 +274,18 @@ def decode(encoded: DataFrame, key: str = "doc_id", vocabulary: str | None = Non
     return encoded.select(key, "ids").mapInPandas(work, f"`{key}` {kind}, text string")
 
 
-def roundtrip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_ids, same): whether decoding the ids gives the text back, for every row."""
-    ids = encode(docs, key, text)
-    back = decode(ids, key).withColumnRenamed("text", "decoded")
-    return (
-        ids.select(key, F.size("ids").alias("n_ids"))
-        .join(back, key)
-        .join(docs.select(key, text), key)
-        .select(key, "n_ids", (F.col("decoded") == F.coalesce(F.col(text), F.lit(""))).alias("same"))
-    )
+def roundtrip(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(key, n_ids, same): whether decoding the ids gives the text back, for every row, in one pass."""
+    path = vocabulary or default_vocabulary()
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = _encoder(path, shared.value)
+        for b in batches:
+            texts = [t if isinstance(t, str) else None for t in b[text]]
+            ids = enc.encode(texts)
+            same = [x == (t or "") for x, t in zip(enc.decode(ids), texts, strict=True)]
+            yield pd.DataFrame({key: b[key], "n_ids": np.array([len(x) for x in ids], dtype=np.int32), "same": np.array(same, dtype=bool)})
+
+    return spread(docs.select(key, text)).mapInPandas(work, f"`{key}` {kind}, n_ids int, same boolean")

@@ -1,6 +1,7 @@
 """Small tests of the other operators: units of work, brute force, defined results for odd inputs."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -52,6 +53,29 @@ def test_encoding_equals_a_public_library_and_decodes(spark):
     assert encode.encode(df.limit(0)).count() == 0
 
 
+def test_long_runs_equal_a_public_library_in_linear_time(monkeypatch, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.chdir(tmp_path)
+    t = tokenizers.Tokenizer.from_file(encode.default_vocabulary())
+    rnd = random.Random(6)
+    enc = encode.Encoder(encode.read_vocabulary(encode.default_vocabulary()))
+    runs = ["".join(rnd.choice(letters) for _ in range(n)) for letters in ("ab", "the", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "本季度净利息é") for n in (255, 300, 700, 5000)]
+    runs += ["a" * 4097, "ha" * 3000, "=" * 2000, "internationalization" * 300, " " * 3000 + "x", "one " + "q" * 999 + " two"]
+    got = enc.encode(runs)
+    for run, ids in zip(runs, got, strict=True):
+        assert ids.tolist() == t.encode(run, add_special_tokens=False).ids
+    assert enc.decode(got) == runs
+    took = []
+    for n in (20_000, 80_000):
+        run = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.time()
+        ids = enc.encode([run])[0]
+        took.append(time.time() - began)
+        assert ids.tolist() == t.encode(run, add_special_tokens=False).ids
+    assert took[1] < 8 * max(took[0], 0.5)
+    assert not list(tmp_path.iterdir())
+
+
 # ---------------------------------------------------------------- overlap
 
 
@@ -225,7 +249,7 @@ def test_leaks_with_changed_words_figures_and_siblings(spark):
 
 def test_consensus_recovers_the_truth_against_a_majority(spark):
     rnd = random.Random(4)
-    skill = {"ann": 0.95, "bob": 0.95, "cy": 0.2, "dan": 0.2, "eve": 0.9}
+    skill = {"team:ann": 0.95, "bob": 0.95, "cy": 0.2, "dan": 0.2, "eve": 0.9}
     rows, truth = [], {}
     for i in range(400):
         t = rnd.choice(["yes", "no"])
@@ -234,14 +258,18 @@ def test_consensus_recovers_the_truth_against_a_majority(spark):
             said = t if rnd.random() < skill[c] else ("no" if t == "yes" else "yes")
             name = rnd.choice([c, c.upper(), f" {c}", f"coder_{c}"])
             rows.append((f"p{i}", name, None, "?", rnd.choice([said, said.upper() + " ", "YES " if said == "yes" else "N"]), said, None, None, i))
-    rows += [("p0", "ann", "neg.", None, "", None, None, None, 10_000), ("q", "ann", "neutral", None, None, None, None, None, 1), (None, "ann", "neg", None, None, None, None, None, 1)]
+    rows += [("p0", "team:ann", "neg.", None, "", None, None, None, 10_000), ("q", "team:ann", "neutral", None, None, None, None, None, 1), (None, "team:ann", "neg", None, None, None, None, None, 1)]
     df = spark.createDataFrame(rows, "pair_id string, coder string, q_label string, a_label string, addressed string, changed_topic string, confidence string, note string, labelled_at int")
     got = {(r["pair_id"], r["field"]): r["label"] for r in consensus.consensus(df).collect()}
     right = np.mean([got[p, "changed_topic"] == t for p, t in truth.items()])
     assert right > 0.93 and not any(f in ("q_label", "a_label") for _, f in got)
     r = {x["coder"]: x["reliability"] for x in consensus.reliability(df).where("field = 'changed_topic'").collect()}
-    assert r["ann"] > 0.85 and r["cy"] < 0.4
+    assert r["team:ann"] > 0.85 and r["cy"] < 0.4
     assert consensus.agreement(df).count() >= 2
+    model = consensus.solved(df)[2]
+    for field, duals in model.duals.items():
+        rises = [b - a for a, b in zip(duals, duals[1:], strict=False)]
+        assert model.converged[field] and all(x >= -1e-9 for x in rises), (field, duals)
     assert consensus.consensus(df.limit(0)).count() == 0
 
 
