@@ -3,7 +3,8 @@
 A parser is a function (text, position) -> (end, nodes) or None; a node is (kind, start, end, children).
 Terminals are compiled regular expressions, so plain stretches of text cost one call. Choice is
 ordered and nothing is tried twice at one place, so parsing is linear for grammars without nested
-backtracking.
+backtracking. Rules that nest in themselves are parsed by ``balanced``, which keeps no call stack: a text may
+nest as deep as it is long.
 """
 
 from __future__ import annotations
@@ -108,10 +109,48 @@ def node(kind: str, part: Parser) -> Parser:
     return run
 
 
-def lazy(get: Callable[[], Parser]) -> Parser:
-    """A rule that is defined later, for recursion."""
+def balanced(kind: str, pairs: dict[str, tuple[str, str]], atoms: Parser, inside: str) -> Parser:
+    """A rule that nests in itself: Rule <- open &need (atom / Rule / inside)* close, or an atom that is one.
+
+    ``pairs`` gives the closing mark and the predicate behind each opening mark, ``inside`` a pattern of plain
+    stretches. All rules of a text are matched at its first use, from the last opening mark to the first:
+    a rule met inside another is then known and passed over in one step, and each plain stretch is read for
+    the nearest unmatched opening mark before it alone, so the time is linear in the text.
+    """
+    need = {a: re.compile(p, re.I).match for a, (_, p) in pairs.items()}
+    close = {a: c for a, (c, _) in pairs.items()}
+    opening = re.compile("[" + re.escape("".join(pairs)) + "]").finditer
+    plain = re.compile(inside).match
+    last: list = [None, {}]
+
+    def match_all(text: str) -> dict[int, Node]:
+        known: dict[int, Node] = {}
+        for start in [m.start() for m in opening(text)][::-1]:
+            mark = text[start]
+            if not need[mark](text, start + 1):
+                continue
+            at, nodes = start + 1, []
+            while at < len(text):
+                if (r := atoms(text, at)) is not None and r[0] > at:
+                    at = r[0]
+                    nodes += r[1]
+                elif at in known:
+                    nodes.append(known[at])
+                    at = known[at][2]
+                elif m := plain(text, at):
+                    at = m.end()
+                else:
+                    break
+            if text.startswith(close[mark], at):
+                known[start] = (kind, start, at + len(close[mark]), nodes)
+        return known
 
     def run(text: str, at: int):
-        return get()(text, at)
+        if at < len(text) and text[at] in close:
+            if last[0] is not text:
+                last[:] = [text, match_all(text)]
+            if (n := last[1].get(at)) is not None:
+                return n[2], [n]
+        return None
 
     return run

@@ -158,37 +158,23 @@ def grammar(known) -> peg.Parser:
     Row    <- (Gap / Stamp / Note / Label / Filler / Run / Any)*
     Stamp  <- Clock '-->' Clock / '[' Clock ']' / '(' Clock ')' / '<' Clock '>' / Clock
     Note   <- '[' Inner ']' / '(' Inner ')' / '{' Inner '}' / '<' Inner '>' / '*' Cue '*'
-    Inner  <- (Stamp / Note / CueText)+
+    Inner  <- (Stamp / Note / CueText)*      of any depth
     Label  <- '>>'? (Name (':' / ' --') / '[' Name ']')      where known(Name)
     """
     clock = peg.term(rf"(?:{CLOCK})")
     gap = peg.term(r"\s+", "gap")
     cue = rf"\s*(?:{'|'.join(CUES.split())})\b"
-    text = peg.term(r"[^\[\](){}<>*\n]+")
-    inner: peg.Parser
-
-    def bracket(a: str, b: str, need: str) -> peg.Parser:
-        open_, close = peg.term(re.escape(a)), peg.term(re.escape(b))
-        return peg.seq(open_, peg.follows(need, re.I), peg.lazy(lambda: inner), close)
-
-    nested = rf"\s*[\[({{<*]|{cue}"
-    note = peg.node(
-        "note",
-        peg.ahead(
-            "[({<*",
-            peg.alt(
-                bracket("[", "]", nested), bracket("(", ")", nested), bracket("{", "}", r"[^{}\n]{1,60}\}"),
-                bracket("<", ">", nested), peg.term(r"\*[^*\n]{1,40}\*"),
-            ),
-        ),
-    )
     enclosed = peg.ahead(
         "[(<",
         peg.term(rf"\[\s*(?:{CLOCK})\s*\]|\(\s*(?:{CLOCK})\s*\)|<\s*(?:{CLOCK})\s*>"),
     )
     bare = peg.term(rf"(?:{CLOCK})(?:\s*-->\s*(?:{CLOCK}))?(?=\s|$)")
     stamp = peg.node("stamp", peg.alt(enclosed, peg.ahead("0123456789", bare)))
-    inner = peg.many(peg.alt(peg.node("stamp", enclosed), note, peg.node("stamp", clock), text))
+    starred = peg.node("note", peg.ahead("*", peg.term(r"\*[^*\n]{1,40}\*")))
+    inner = peg.alt(peg.node("stamp", enclosed), starred, peg.node("stamp", peg.ahead("0123456789", clock)))
+    nested = rf"\s*[\[({{<*]|{cue}"
+    marks = {"[": ("]", nested), "(": (")", nested), "{": ("}", r"[^{}\n]{1,60}\}"), "<": (">", nested)}
+    note = peg.alt(peg.balanced("note", marks, inner, r"[^\[\](){}<>*\n\d]+|\d"), starred)
     name = re.compile(rf"(>>\s*)?(?:\[({NAME})\]|(?-i:(?=[A-Z]))({NAME})(?:\s?:|\s--(?!-))(?=\s|$|\[|\())")
 
     def label(at_text: str, at: int):
@@ -209,9 +195,6 @@ def grammar(known) -> peg.Parser:
     return peg.many(peg.alt(gap, stamp, label, note, filler, run, unknown, single))
 
 
-_MARKED = re.compile(r"[\[({<*>:]|\d[hm]\d| --(?!\S)")
-_ONLY_FILLER = re.compile(rf"(?:\s|\.\.\.+|…|[,.]|\b(?:{FILLERS})\b)*", re.I)
-_ALNUM = re.compile(r"[^\W_]")
 _SPLIT_FILLER = re.compile(rf"(?<![\w-])(?:{FILLERS})(?:\.\.\.|,)(?=\s|$)\s*", re.I)
 _REPEAT = re.compile(r"\b(\w+)(?:--)? \1\b", re.I)
 _STAMMER = re.compile(r"\b\w{1,4}-- ?(?=\w)")
@@ -233,7 +216,10 @@ class Reader:
         self.parse = grammar(lambda n: self.people.find(n, 1 if " " not in n.strip() else 2))
 
     def stretches(self, speaker: str | None, firm: str | None, text: str | None, words: bool) -> list[tuple[int, str]]:
-        """(speaker_id, clean words) of each stretch of a row in order; -1 where nobody is named."""
+        """(speaker_id, clean words) of each stretch of a row in order; -1 where nobody is named.
+
+        Every row is parsed; without ``words`` only the words themselves are left out.
+        """
         who = -1
         if speaker and speaker.strip():
             who = self.people.find(f"{speaker} -- {firm}" if firm and firm.strip() and " -- " not in speaker else speaker)
@@ -241,8 +227,6 @@ class Reader:
         out: list[tuple[int, list[str]]] = []
         if not text:
             return []
-        if not words and not _MARKED.search(text):  # nothing that a rule could match but words and fillers
-            return [] if _ONLY_FILLER.fullmatch(text) or not _ALNUM.search(text) else [(who, "")]
         for kind, a, b, _ in self.parse(text, 0)[1]:
             if kind == "label":
                 who = self.people.find(text[a:b], 2)

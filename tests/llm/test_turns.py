@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 
@@ -46,6 +47,27 @@ def test_rows(reader, text, want):
     assert [w for w, _ in got] == [w for w, _ in reader.stretches(None, None, text, False)]
 
 
+@pytest.mark.parametrize("text", ["[" * 100_000, "[(" * 50_000 + "laughter" + ")]" * 50_000, "[" * 50_000 + " x " + "]" * 50_000, "[laughter (" * 30_000, "(music) " * 30_000, "*" * 100_000, "<[{(" * 25_000])
+def test_marks_of_any_number_and_depth(reader, text):
+    began = time.time()
+    one, two = (reader.stretches("Petra Estunnova", None, f"It rose. {text} It fell.", w) for w in (True, False))
+    assert [w for w, _ in one] == [w for w, _ in two] == [2] and time.time() - began < 30
+    assert one[0][1].startswith("It rose.") and one[0][1].endswith("It fell.")
+
+
+@pytest.mark.parametrize("text", ["12.34", "00:10", "12.34 um", "... 1:02:03", "5m10s", "uh, 12.34"])
+def test_noise_is_no_stretch_in_either_form(reader, text):
+    assert reader.stretches("Petra Estunnova", None, text, True) == reader.stretches("Petra Estunnova", None, text, False) == []
+
+
+def test_nested_notes_are_one_node():
+    from colloquy.llm import peg
+
+    kind, start, end, children = T.grammar(lambda n: None)("[laughter (music [00:10] noise)] on", 0)[1][0]
+    assert (kind, start, end) == ("note", 0, 32) and [c[0] for c in children] == ["note"] and [c[0] for c in children[0][3]] == ["stamp"]
+    assert peg.many(peg.term("a", "x"))("aab", 0) == (2, [("x", 0, 1, []), ("x", 1, 2, [])])
+
+
 def plain(rows, reader):
     out, cur, run, before = set(), None, None, None
     latest = {}
@@ -91,4 +113,5 @@ def test_chain_equals_a_plain_loop_also_across_blocks(spark, reader, monkeypatch
     assert got == plain([r for r in rows if r[1] and r[2]], reader)
     assert T.clean_turns(df.limit(0), sp).count() == 0
     texts = T.turn_texts(df, sp)
+    assert {(r["source"], r["first_turn_no"], r["last_turn_no"], r["speaker_id"]) for r in texts.collect()} == got
     assert texts.count() == len(got) and texts.where("text is null or text = ''").count() == 0
