@@ -303,6 +303,22 @@ def test_defects(spark):
     assert not [k for k in fine if k in got]
     assert sum(k.startswith("s") for k in got) < 8
     assert pairs.defects(df.limit(0)).count() == 0
+    empty = df.where("pair_id = 'e1'")
+    assert [tuple(r) for r in pairs.defects(empty).collect()] == [("e1", "empty")]
+
+
+def test_refusals_in_words_of_no_list():
+    sound = texts(400)
+    model = pairs.Model(sound)
+    told = [
+        "I shall not answer this.", "We refuse to say anything about our plans.", "That question I cannot answer, sorry.", "No comment from us on this matter.", "I am not allowed to tell you.",
+        "Nothing will be said about it today.", "We never discuss clients in public.", "You won't get a number from me.", "I'd rather keep silent on that one.", "Not something we can disclose.",
+    ]
+    listed = {x.lower() for k in pairs.REFUSAL.values() for x in k}
+    assert not any(t.rstrip(".").lower() in listed for t in told)
+    found = model.defects([q for q, _ in sound[: len(told)]], told)
+    assert sum(d == "refusal" for d in found) >= 8
+    assert sum(d is not None for d in model.defects([q for q, _ in sound], [a for _, a in sound])) < 8
 
 
 def test_scans(spark):
