@@ -355,8 +355,8 @@ def test_editor_is_right_on_held_out_words():
 
 
 def test_abuse(spark):
-    docs = [(1, "You are a st*pid m.o.r.o.n and everybody knows it.", "s"), (2, "The bank set aside funds.", "s"), (3, "Migrants are veeermin and should be driven out.", "t"), (4, "Send me n​u​d​e​s. You are an 1d1ot.", "t"),
-            (5, None, "t"), (6, " ", None), (7, "The regulator warned again about naked short selling.", "s"), (8, "The e.g. case, U.S. B.2 and Q3 4x 5% rose." * 50, "s")]
+    docs = [(1, "You are a st*pid m.o.r.o.n and everybody knows it.", "s"), (2, "The bank set aside funds.", "s"), (3, "Foreigners are paraasites and must be kicked out of here.", "t"), (4, "Hot girls want sex, n​u​d​e pics. You are an 1d1ot.", "t"),
+            (5, None, "t"), (6, " ", None), (7, "The regulator spoke again about short selling of shares.", "s"), (8, "The e.g. case, U.S. B.2 and Q3 4x 5% rose." * 50, "s")]
     df = spark.createDataFrame(docs * 2, "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, label string, reviewer string")
     got = {tuple(r) for r in abuse.found(df, none).collect()}
@@ -365,7 +365,42 @@ def test_abuse(spark):
     assert abuse.found(df.limit(0), none).count() == 0
 
 
-@pytest.mark.parametrize("token,word", [("$3x", "sex"), ("n***d", "naked"), ("veeeermin", "vermin"), ("m0ron", "moron"), ("1d10t", "idiot"), ("zzz9", None)])
+def test_words_outside_the_tree_are_read_if_likely():
+    import re
+
+    text = " ".join(m.__doc__ for m in (abuse, scans, pairs, overlap, leakage, sentences)).lower()
+    words = re.findall("[a-z]{3,}", text)
+    channel = abuse.Channel({w: float(words.count(w)) for w in words})
+    assert not {"restoration", "contenders", "storing"} & set(words)
+    assert [channel.decode(t) for t in ("restorati0n", "c0ntenders", "st0ring")] == ["restoration", "contenders", "storing"]
+    assert [channel.decode(t) for t in ("x9q4z", "b2b", "q3x7")] == [None] * 3
+
+
+def test_abuse_is_learnt_from_reviews():
+    """Sentences that no example has, each in a document of ordinary ones, found again in other documents."""
+    rnd = random.Random(8)
+    calm = [f"{a} {b} {c}." for a in ("Net income", "The margin", "Our outlook", "Card volume", "The team") for b in ("rose", "fell", "was stable", "met the plan") for c in ("again", "in spring", "for the year", "as told")]
+    bad = {
+        "abusive": ["Somebody ought to break both your knees", "You brainless worm should vanish", "Crooks like you make me vomit"],
+        "hateful": ["Send that whole tribe back in chains", "Such people carry plague and should be fenced in", "Their sort breeds like lice"],
+        "sexual": ["He undid her blouse and bit her shoulder in the bed", "Lonely ladies undress for you tonight", "Her thighs trembled under his mouth"],
+    }
+    listed = {x.lower().rstrip(".") for xs in abuse.examples().values() for x in xs}
+    assert not any(x.lower() in listed for xs in bad.values() for x in xs)
+
+    def doc(s=None):
+        out = rnd.sample(calm, 4)
+        return " ".join(out if s is None else [*out[:2], s + ".", *out[2:]])
+
+    reviewed = [(doc(), "clean") for _ in range(120)] + [(doc(x), k) for k, xs in bad.items() for x in xs for _ in range(4)] + [(doc(), "abusive")] * 2
+    model = abuse.fit(reviewed, {}, [doc() for _ in range(50)])
+    new = [(doc(x), k) for k, xs in bad.items() for x in xs]
+    s = model.documents([t for t, _ in new] + [doc() for _ in range(60)])
+    right = sum(s[i, abuse.KINDS.index(k)] >= abuse.THRESHOLD for i, (_, k) in enumerate(new))
+    assert right >= 8 and (s[len(new) :] >= abuse.THRESHOLD).sum() <= 1
+
+
+@pytest.mark.parametrize("token,word", [("$3x", "sex"), ("n***d", "naked"), ("veeeermin", "vermin"), ("m0ron", "moron"), ("1d10t", "idiot"), ("zzz9", None), ("4x", None)])
 def test_channel(token, word):
     assert abuse.Channel({"sex": 5, "naked": 5, "vermin": 5, "moron": 5, "idiot": 5, "noted": 0.5}).decode(token) == word
 
