@@ -122,7 +122,9 @@ def _suppressed(line: str, dot: int, nxt: str, rest: str, langs: tuple[str, ...]
             return False
         if dot + 1 < len(line) and not line[dot + 1].isspace():
             return True
-        return not before[: m.start()].rstrip().endswith(("plan", "Plan"))
+        # an initial stands before a name; before a function word its full stop ends the sentence (plan B. Our team)
+        follows = LATIN_WORD.match(rest)
+        return not (follows and follows[0].lower() in frozenset().union(*(_hints[x] for x in langs)))
     if low in _figure and (nxt.isnumeric() or (len(rest) > 1 and rest[1:2] == ".")):
         return True
     if len(last) <= 2 and PART_NEXT.match(rest):

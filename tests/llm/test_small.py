@@ -19,7 +19,7 @@ from colloquy.llm import abuse, consensus, encode, leakage, overlap, pairs, scan
         ("A good part comes from the U.S. Looking ahead, fine.", 2), ("部長は「心配ない。計画どおりだ。」と述べました。営業費用です。", 2), ("他说：“成本会下降。请给我们时间。”本季度增长。", 2),
         ("M. Vale a précisé : « Nous restons prudents. Rien ne presse. » Pourquoi le coût a-t-il augmenté ?", 2), ("Am 5. März haben wir, z. B. in der Filiale Nr. 94, die Preise angepasst. Gut.", 2),
         ("Γιατί μειώθηκαν το 2020; Τα έσοδα αυξήθηκαν; ναι.", 3), ("เราคาดว่าจะเพิ่มขึ้น ผู้บริหารระวัง", 2), ("قال د. حزمير إنه مستقر. نتوقع 5.4 مليون!", 2), ("डॉ. कोमेश ने कहा। क्या यह बढ़ा?", 2),
-        ("Heading\nOne sentence here.\n\nThank you", 3), ("It rose in the plan.Our team agreed.", 2), ("Did they really expect it?! No.", 2), ("", 0), (None, 0), (" \n ", 0), ("...", 0), ("No quote “ here. Yes.", 2),
+        ("Heading\nOne sentence here.\n\nThank you", 3), ("It rose in the plan.Our team agreed.", 2), ("Did they really expect it?! No.", 2), ("We chose option B. The team agreed with J. Vale and P. Q. Moor.", 2), ("", 0), (None, 0), (" \n ", 0), ("...", 0), ("No quote “ here. Yes.", 2),
     ],
 )
 def test_sentences(text, want):
