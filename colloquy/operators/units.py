@@ -5,7 +5,8 @@ as ``k``, ``Mrd.``, ``lakh``, ``billions of``), roots (currencies, ratios, heads
 exponents (``²``, ``^-1``, ``e6``). Several cuts may cover a string (``m`` is a million or a metre,
 ``CHFm`` a currency with a scale); each gets the log weights of its pieces plus the prior of its
 dimension for the field, and the best one wins. Where the unit column tells nothing, the figure as
-written, its span and the phrases of its context are cut in the same way.
+written, its span and the windows of its context are cut in the same way; of the context the window with the
+best cut counts first.
 
 Defined results: a claim whose field, number, unit or scale is not stated has no row; an amount with a
 currency but no scale is in single units; a claim delivered again counts once; null, empty or very
@@ -265,22 +266,36 @@ def read_number(raw: str | None, value: float | None) -> Decimal | None:
     return numbers[0]
 
 
-#: Phrases of a context that state a unit for the figure; group 1 is the unit.
-STATED = [
-    re.compile(p, re.I)
-    for p in (
-        r"\ball (?:figures|amounts|numbers) (?:are )?in ([^).]+)",
-        r"\btable in ([A-Z]{3} [a-z ]+|[^.]+?)\.",
-        r"\bstated in ([^,]+),",
-        r"\bexpressed in ([^,]+),",
-        r"\bmeasured in ([^,]+),",
-        r"\breported in ([^,.]+)[,.]",
-        r"\bpresentation currency:? (\S+?)[.,]?(?:\s|$)",
-        r"\bcurrency:? (\S+?)[.,]?(?:\s|$)",
-        r"\(([^()]{1,30})\)\s*:",
-        r"\bin ([a-z\- ]{2,40}):",
-    )
-]
+TOKEN = re.compile(r"[^\s(),;:\[\]#]+|[()\[\]:#]")
+#: What stands before a unit that is named for a figure apart from it.
+BEFORE_UNIT = frozenset({"in", "(", "[", ":", "currency"})
+#: Most tokens of a window of the context, and what each further token that a cut covers adds to the window's score.
+WINDOW, COVERED = 6, 1.5
+
+
+@lru_cache(maxsize=100_000)
+def offered(context: str, dim: str = "") -> tuple[str, ...]:
+    """The windows of a context that name a unit, the best cut first; the claim's own figure is written #.
+
+    A window begins behind one of BEFORE_UNIT and holds no figure. Of the windows from one place the best
+    counts: the score of its cut, and COVERED for each token more. Windows of other dimensions come last,
+    by the prior in that score.
+    """
+    tokens = [t.rstrip(".") or t for t in TOKEN.findall(context)]
+    found = []
+    for i, before in enumerate(tokens[:-1]):
+        if before.lower() not in BEFORE_UNIT:
+            continue
+        best = None
+        for j in range(i + 1, min(i + 1 + WINDOW, len(tokens))):
+            if NUMBER.search(tokens[j]) and segment(tokens[j], dim) is NONE or tokens[j] in ("#", ")", "]", "(", "[", ":"):
+                break
+            c = segment(text := " ".join(tokens[i + 1 : j + 1]), dim)
+            if c is not NONE and (best is None or c.score + COVERED * (j - i - 1) > best[0]):
+                best = (c.score + COVERED * (j - i - 1), text)
+        if best:
+            found.append((-best[0], i, best[1]))
+    return tuple(text for _, _, text in sorted(found))
 
 
 def convert(metric: str | None, raw: str | None, value: float | None, unit: str | None, span: str | None, context: str | None) -> tuple[str, int] | None:
@@ -301,7 +316,7 @@ def convert(metric: str | None, raw: str | None, value: float | None, unit: str
     text = context or ""
     if span and span in text:
         text = text.replace(span, " # ", 1)
-    stated += [m[1] for p in STATED for m in p.finditer(text)]
+    stated += offered(text, field.dim)
     factor, currency, dim = None, "", ""
     for s in stated:
         s = s.strip(" ()+" + SIGN)
