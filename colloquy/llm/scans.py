@@ -1,13 +1,14 @@
 """Problem 6: text taken from scanned pages, repaired into continuous paragraphs.
 
-Two averaged perceptrons, trained here on every run from the corpus itself:
+Averaged perceptrons, trained here on every run from the corpus itself:
 
-* a character editor that predicts for each character keep or a replacement of CONFUSIONS (no delete or insert). It is trained on
-  words of the lexicon that were misread on purpose, and decodes a word outside the lexicon by a
-  search over edit sequences whose result stays a prefix of some lexicon word; at a line end with a
-  hyphen the join, with or without the hyphen, is decided by lexicon counts, else by the editor;
-* a line classifier with page-position features (place on the page, width against the page's lines,
-  whether the sentence runs on around it) that removes running headers and page numbers.
+* a character editor that predicts for each character keep, a replacement of CONFUSIONS, delete, or
+  insert. It is trained on words of the lexicon that were misread on purpose, and decodes a word outside
+  the lexicon by a search over edit sequences whose result stays a prefix of some lexicon word, with one
+  edit for every EDIT_LETTERS letters (two at least). At a line end with a hyphen its operations are to join
+  with or without the hyphen or to keep the parts; they are trained on lexicon words broken on purpose;
+* two line classifiers with page-position features (place on the page, width against the page's lines,
+  whether the sentence runs on around it) that find running headers and page numbers.
 
 The lexicon are the words of all rows not known as scans that make up at least LEAST_SHARE of all words,
 so at most 1 / LEAST_SHARE words; it is small by that bound and sent to the tasks. Line forms that
@@ -37,8 +38,8 @@ from colloquy.session import cut, spread
 LEAST_SHARE, LEAST_COUNT = 1e-6, 3
 #: Lexicon words the editor is trained on, most frequent first, and passes over them.
 TRAIN_WORDS, PASSES = 3_000, 3
-#: A corrected word must be this many times as frequent among clean rows as the word as read.
-RATIO = 20
+#: Letters of a word per edit, and what an edit costs beside its score: a known confusion, and a letter dropped or added.
+EDIT_LETTERS, CONFUSED, DROPPED = 3, 2.0, 12.0
 #: Strings and what they are misread as.
 CONFUSIONS = {
     "a": ["o"], "b": ["6", "h"], "c": ["e", "("], "d": ["cl", "ci"], "e": ["c"], "f": ["t"], "g": ["9", "q"], "h": ["b", "li"],
@@ -56,6 +57,7 @@ COUNTED = re.compile(r"(?<![^\s(\[“\"'„«])[^\W\d_]+(?:['’-][^\W\d_]+)*(?!
 CASED = re.compile(r"[A-Za-zÀ-ɏΑ-ωА-я]{3}")
 PLAIN = re.compile(r"[^\W_]+")
 INNER = re.compile(r"\w[.!?] [^\W\d_]")
+DIGITS = re.compile(r"\d")
 LETTERS = re.compile(r"[^\W\d_]")
 FIGURE = re.compile(r"^[^\w]*[£$€¥₹]?\d[\d.,:/%]*(?:[a-z]{0,2}|st|nd|rd|th)?[^\w]*$|^\d|\d{2}|[a-z]\.[a-z]|://|@|^--")
 PAGE = re.compile(r"^(?:p(?:age|g|p)?\.?|seite|página)\s*\d{1,4}(?:\s*(?:of|/|von|de)\s*\d{1,4})?$|^[-–—\[(|]\s*\d{1,4}\s*[-–—\])|]$|^\d{1,3}(?:\s*(?:/|of)\s*\d{1,4})?$", re.I)
@@ -79,6 +81,7 @@ class Editor:
         for right, wrongs in CONFUSIONS.items():
             for wrong in wrongs:
                 self.ops.setdefault(wrong[0], []).append((wrong, right, len(wrong)))
+        self.kids: dict[str, str] = {}
         self.read = lru_cache(maxsize=200_000)(self._read)
 
     @staticmethod
@@ -103,32 +106,56 @@ class Editor:
     def _read(self, word: str) -> str | None:
         """The lexicon word that ``word`` was misread from, or None. A lexicon word is not misread."""
         n = len(word)
-        if n < 3 or n > 40 or word in self.lexicon:
+        if n < 3 or word in self.lexicon:
             return None
-        # states: (position, output so far) -> (score, edits); outputs are prefixes of lexicon words
-        layers: list[dict[str, tuple[float, int]]] = [{} for _ in range(n + 1)]
-        layers[0][""] = (0.0, 0)
-        most = 3 if n > 6 else 2
+        # of each place and output so far (a prefix of lexicon words) the best (score, edits); at most two letters are dropped or added
+        most, layers = max(2, n // EDIT_LETTERS), [{} for _ in range(n + 1)]
+        layers[0]["", 0] = (0.0, 0)
         for at in range(n):
-            here = layers[at]
-            if not here:
-                continue
-            options = [(1, word[at], "keep", 0)]
-            options += [(k, right, f"{wrong}>{right}", 1) for wrong, right, k in self.ops.get(word[at], ()) if word.startswith(wrong, at)]
-            for out, (score, edits) in here.items():
-                for k, piece, op, cost in options:
-                    new = out + piece
-                    if edits + cost > most or new not in self.prefixes:
-                        continue
-                    s = score + self.score(word, at, k, op) + (0 if cost else 0.0)
-                    old = layers[at + k].get(new)
-                    if old is None or s > old[0]:
-                        layers[at + k][new] = (s, edits + cost)
-        found = [(s - 2.0 * e, self.lexicon[o], o) for o, (s, e) in layers[n].items() if o in self.lexicon and e]
+            options = [(1, word[at], "keep", 0.0)]
+            options += [(k, right, f"{wrong}>{right}", CONFUSED) for wrong, right, k in self.ops.get(word[at], ()) if word.startswith(wrong, at)]
+            scored = [(k, piece, self.score(word, at, k, op) - cost, op != "keep") for k, piece, op, cost in options]
+            drop = self.score(word, at, 1, "delete") - DROPPED if word[at].isalpha() else None
+            add = self.score(word, at, 1, "insert") - DROPPED
+            for (out, loose), (score, edits) in list(layers[at].items()):
+                for k, piece, gain, edit in scored:
+                    self._put(layers[at + k], out + piece, loose, score + gain, edits + edit, most)
+                if loose < 1 and n > 4:
+                    if drop is not None:
+                        self._put(layers[at + 1], out, loose + 1, score + drop, edits + 1, most)
+                    for letter in self.next(out) if at else "":  # the letter goes before the one that is kept
+                        if out + letter + word[at] in self.prefixes:
+                            self._put(layers[at + 1], out + letter + word[at], loose + 1, score + add, edits + 1, most)
+        found = [(s, self.lexicon[o], o) for (o, _), (s, e) in layers[n].items() if o in self.lexicon and e]
         if not found:
             return None
         return max(found)[2]
 
+    def _put(self, layer: dict, out: str, loose: int, score: float, edits: int, most: int) -> None:
+        if edits <= most and out in self.prefixes and ((out, loose) not in layer or score > layer[out, loose][0]):
+            layer[out, loose] = (score, edits)
+
+    def next(self, prefix: str) -> str:
+        """The letters that go on from a prefix."""
+        if not self.kids:
+            for p in self.prefixes:
+                if p:
+                    self.kids[p[:-1]] = self.kids.get(p[:-1], "") + p[-1]
+        return self.kids.get(prefix, "")
+
+    def join(self, a: str, b: str) -> str:
+        """'join' or 'hyphen': how two parts at a line end are put together."""
+        feats = join_features(a, b, self.lexicon)
+        w = self.weights
+        return max(("join", "hyphen"), key=lambda op: (sum(w[f].get(op, 0.0) for f in feats if f in w), op == "join"))
+
+
+def join_features(a: str, b: str, lexicon: dict[str, int]) -> list[str]:
+    """What the editor sees at a line end: how the corpus has the parts, the word and the hyphened word."""
+    p, h = lexicon.get(a + b, 0), lexicon.get(f"{a}-{b}", 0)
+    more = "none" if not p and not h else "plain" if p >= h else "hyphened"
+    return [f"j{more}", f"j{more} {a in lexicon} {b in lexicon}", f"jseam {a[-2:]}{b[:2]}", f"ja {a}" if len(a) < 6 else "jlong", f"jb {b[:3]}"]
+
 
 def train_editor(lexicon: dict[str, int], seed: int = 7) -> dict[str, dict[str, float]]:
     """Averaged-perceptron weights from lexicon words that are misread on purpose."""
@@ -155,12 +182,21 @@ def train_editor(lexicon: dict[str, int], seed: int = 7) -> dict[str, dict[str,
             if not places:
                 continue
             i, r, w = rnd.choice(places)
-            bad = word[:i] + w + word[i + len(r) :]
+            op, size_ = f"{w}>{r}", len(w)
+            way = rnd.random()
+            if way < 0.1 and len(word) > 4:  # a letter too many
+                i, op, size_ = rnd.randrange(1, len(word)), "delete", 1
+                bad = word[:i] + rnd.choice("abcdefghijklmnopqrstuvwxyz") + word[i:]
+            elif way < 0.2 and len(word) > 4:  # a letter too few, before the one at i
+                i, op, size_ = rnd.randrange(1, len(word) - 1), "insert", 1
+                bad = word[:i] + word[i + 1 :]
+            else:
+                bad = word[:i] + w + word[i + len(r) :]
             at = 0
             while at < len(bad):
-                gold = f"{w}>{r}" if at == i else "keep"
-                size = len(w) if at == i else 1
-                options = [("keep", 1), *((f"{x}>{y}", len(x)) for x, y in by_first.get(bad[at], ()) if bad.startswith(x, at))]
+                gold = op if at == i else "keep"
+                size = size_ if at == i else 1
+                options = [("keep", 1), *((f"{x}>{y}", len(x)) for x, y in by_first.get(bad[at], ()) if bad.startswith(x, at)), ("delete", 1), ("insert", 1)]
                 scored = []
                 for op, k in options:
                     s = sum(weights.get(f, {}).get(op, 0.0) for f in Editor.features(bad, at, k))
@@ -171,6 +207,22 @@ def train_editor(lexicon: dict[str, int], seed: int = 7) -> dict[str, dict[str,
                     bump(Editor.features(bad, at, k), guess, -1.0)
                 clock += 1
                 at += size
+    whole = [w for w in sorted(lexicon, key=lambda x: (-lexicon[x], x)) if "-" in w and re.fullmatch(r"[^\W\d_]+-[^\W\d_]+", w)][:TRAIN_WORDS] + words
+    for _ in range(PASSES):
+        rnd.shuffle(whole)
+        for word in whole:  # words broken at a line end, at their own hyphen or elsewhere
+            if "-" in word:
+                a, b = word.split("-")
+                gold = "hyphen"
+            else:
+                i = rnd.randrange(2, len(word) - 1)
+                a, b, gold = word[:i], word[i:], "join"
+            feats = join_features(a, b, lexicon)
+            guess = max(("join", "hyphen"), key=lambda op: (sum(weights.get(f, {}).get(op, 0.0) for f in feats), op == "join"))
+            if guess != gold:
+                bump(feats, gold, 1.0)
+                bump(feats, guess, -1.0)
+            clock += 1
     return {f: {op: v - total[f][op] / clock for op, v in ops.items()} for f, ops in weights.items()}
 
 
@@ -201,6 +253,53 @@ def line_features(lines: list[str], i: int, width: float, wrapped: bool, forms:
     return out + [f"runs{runs_on}&cap{round(caps * 4)}"]
 
 
+def page_features(lines: list[str], i: int, width: float, wrapped: bool) -> list[str]:
+    """Shape and place of line ``i`` as a page number."""
+    line = lines[i].strip()
+    words = PLAIN.findall(line.lower())
+    names = [w for w in words if not w.isdigit()]
+    figures = [w for w in words if w.isdigit()]
+    form_ = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", line.lower()))
+    out = [
+        f"shape {re.sub(r'\s+', ' ', form_)[:12]}", f"names {len(names)}", f"figures {len(figures)}", f"digits {max((len(w) for w in figures), default=0)}", f"short {len(line) * 4 < width}",
+        f"alone {len(words) == 1 and bool(figures)}", f"wrapped {wrapped}", f"first {i == 0}", f"last {not any(x.strip() for x in lines[i + 1 :])}",
+    ]
+    return out + [f"named {w} {len(figures) > 0}" for w in names[:2]] + [f"alone {len(words) == 1 and bool(figures)} digits {max((len(w) for w in figures), default=0)}"]
+
+
+#: Makes of page numbers; {n} and {m} are figures.
+PAGE_MAKES = ["{n}", "- {n} -", "– {n} –", "[{n}]", "({n})", "Page {n}", "page {n} of {m}", "Page {n}/{m}", "p. {n}", "pg {n}", "Seite {n}", "Seite {n} von {m}", "página {n}", "página {n} de {m}", "{n}/{m}", "{n} / {m}", "Page {n} / {m}", "{n} of {m}", "| {n} |", "PAGE {n}", "P. {n}"]
+#: Makes of lines with figures that are none.
+NO_PAGE_MAKES = ["{y}", "{n}%", "{n}.{m}", "Q{d} {y}", "{n} million", "£{n}m", "{n},{y}", "+{n}", "{n} {m} {y}", "H{d}", "{n} bps", "year {y}", "item {n}", "note {n} to {m}", "{y}-q{d}", "{n}x", "{n}.{d}% of plan.", "by {n}.{d}%.", "({n}:{m}) Name:", "[{n}:{m}:{d}] Right.", "<{n}.{m}> Name:", "{n}:{m}  Right.", "{n}:{m}  Name:", "{n}.{d}%.", "[{n}:{m}] NAME:", "of {n}.", "{n} weeks", "to {n}", "in {y}.", "{n}.{d}%", "{n}bn"]
+
+
+def train_pages(pages: list[tuple[str, str, bool]], seed: int = 9) -> dict[str, float]:
+    """Averaged weights of the page-number classifier: lines of PAGE_MAKES between real lines against those and NO_PAGE_MAKES."""
+    rnd = random.Random(seed)
+    weights, total, clock = Counter(), Counter(), 1
+    pages = [p for p in pages if "\n" in p[0]] or [("One line of a page that runs\non to the next", "", True)]
+    for _ in range(4 * PASSES):
+        rnd.shuffle(pages)
+        for text, _, _ in pages:
+            lines = [x for x in text.split("\n") if x.strip() and not PAGE.match(x.strip())]
+            if not lines:
+                continue
+            figures = {"n": rnd.randint(1, rnd.choice([9, 99, 999])), "m": rnd.randint(10, 400), "y": rnd.randint(2005, 2030), "d": rnd.randint(1, 4)}
+            for make, gold in ((rnd.choice(PAGE_MAKES), 1), (rnd.choice(NO_PAGE_MAKES), -1), (None, -1)):
+                at = rnd.randrange(len(lines) + 1)
+                some = [*lines[:at], make.format(**figures), *lines[at:]] if make else lines
+                told = [j for j, x in enumerate(lines) if DIGITS.search(x)]
+                at = at if make else rnd.choice(told or range(len(lines)))
+                width, wrapped, _ = shape(some)
+                feats = page_features(some, at, width, wrapped)
+                if gold * sum(weights[f] for f in feats) <= 0:
+                    for f in feats:
+                        weights[f] += gold
+                        total[f] += gold * clock
+                clock += 1
+    return {f: v - total[f] / clock for f, v in weights.items()}
+
+
 def shape(lines: list[str]) -> tuple[float, bool, list[bool]]:
     """(usual width, whether lines are wrapped within sentences, which lines are page numbers)."""
     page = [bool(PAGE.match(x.strip())) for x in lines]
@@ -267,9 +366,9 @@ def own_words(document: str | None) -> frozenset:
 class Repairer:
     """Both models in one worker."""
 
-    def __init__(self, lexicon: dict[str, int], editor: dict, lines: dict[str, float], forms: dict[str, int]):
+    def __init__(self, lexicon: dict[str, int], editor: dict, lines: dict[str, float], forms: dict[str, int], pages: dict[str, float]):
         self.editor = Editor(lexicon, editor)
-        self.lexicon, self.lines, self.forms = lexicon, lines, forms
+        self.lexicon, self.lines, self.forms, self.pages = lexicon, lines, forms, pages
 
     def furniture(self, lines: list[str], document: str | None) -> list[str]:
         """'pageno', 'header' or '' for each line."""
@@ -279,8 +378,8 @@ class Repairer:
         for i, line in enumerate(lines):
             if not line.strip():
                 out.append("")
-            elif page[i]:
-                out.append("pageno" if len(lines) > 1 else "")
+            elif len(lines) > 1 and DIGITS.search(line) and sum(self.pages.get(f, 0.0) for f in page_features(lines, i, width, wrapped)) > 0:
+                out.append("pageno")
             elif len(lines) < 2 or line.strip()[-1] in END + ",;:" or line.strip()[:1].islower() or not CASED.search(line) or "-->" in line:
                 out.append("")
             else:
@@ -293,23 +392,19 @@ class Repairer:
         w = raw.strip(EDGE).lower()
         if len(w) < 2 or w in self.lexicon or not LETTERS.search(w) or "--" in raw or FIGURE.search(w.translate(_NOT_MISREAD)):
             return None
-        if r := self.editor.read(w):
-            return r
         if "!" in raw or "|" in raw:  # marks at the edge may be misread letters
-            return self.editor.read(raw.strip(EDGE.replace("!", "").replace("|", "")).lower())
-        return None
+            if r := self.editor.read(raw.strip(EDGE.replace("!", "").replace("|", "")).lower()):
+                return r
+        return self.editor.read(w)
 
     def joined(self, a: str, b: str) -> str:
-        """The whole word of two parts: with its own hyphen if the lexicon has it so more often."""
+        """The whole word of two parts, by the editor's join operation; a word outside the lexicon is read on."""
         plain, hyphened = a + b, f"{a}-{b}"
-        p, h = self.lexicon.get(plain, 0), self.lexicon.get(hyphened, 0)
-        if p or h:
-            return plain if p >= h else hyphened
-        if r := self.editor.read(plain):
-            return r
-        if r := self.editor.read(hyphened):
-            return r
-        return plain
+        whole = plain if self.editor.join(a, b) == "join" else hyphened
+        known = [w for w in (whole, plain, hyphened) if w in self.lexicon]
+        if known:
+            return known[0]
+        return self.editor.read(plain) or self.editor.read(hyphened) or whole
 
     def repair(self, text: str, document: str | None = None) -> tuple[str, list[tuple[str, str]]]:
         """(continuous text, repairs as (kind, token)) of one page of text."""
@@ -402,10 +497,10 @@ def _flat(clean: Counter, scans: Counter, lines: Counter) -> pd.DataFrame:
     return pd.DataFrame(data, columns=["what", "name", "n"])
 
 
-def fit(rows: DataFrame, seed_pages: int = 400) -> tuple[dict[str, int], dict, dict[str, float], dict[str, int]]:
-    """(lexicon, editor weights, line weights, repeated line forms) of all rows.
+def fit(rows: DataFrame, seed_pages: int = 400) -> tuple[dict[str, int], dict, dict[str, float], dict[str, int], dict[str, float]]:
+    """(lexicon, editor weights, header weights, repeated line forms, page-number weights) of all rows.
 
-    ``seed_pages`` wrapped pages, the first by hash, train the line classifier.
+    ``seed_pages`` wrapped pages, the first by hash, train the line classifiers.
     """
     table = cut(counts(rows))
     sums = {r["what"]: r["n"] for r in table.groupBy("what").agg(F.sum("n").alias("n")).collect()}
@@ -420,8 +515,8 @@ def fit(rows: DataFrame, seed_pages: int = 400) -> tuple[dict[str, int], dict, d
     some = rows.where(F.col("text").contains("\n")).select("text", F.coalesce("source", F.lit("")).alias("source"), scan)
     pages = some.where("scan").orderBy(F.xxhash64("text"), "text").limit(seed_pages)
     pages = pages.unionByName(some.where("not scan").orderBy(F.xxhash64("text"), "text").limit(seed_pages // 2))
-    lines = train_lines(sorted((r["text"], r["source"], r["scan"]) for r in pages.distinct().collect()), forms)
-    return lexicon, train_editor(lexicon), lines, forms
+    some = sorted((r["text"], r["source"], r["scan"]) for r in pages.distinct().collect())
+    return lexicon, train_editor(lexicon), train_lines(list(some), forms), forms, train_pages(some)
 
 
 _REPAIRERS: dict[int, Repairer] = {}

@@ -352,6 +352,22 @@ def test_editor_is_right_on_held_out_words():
             tried += 1
             right += editor.read(bad.lower()) == w
     assert right / tried > 0.9
+    # letters dropped and added, and words broken at line ends
+    long = [w for w in held if len(w) > 6]
+    assert sum(editor.read(w[:3] + "q" + w[3:]) == w for w in long) / len(long) > 0.7
+    assert sum(editor.read(w[:3] + w[4:]) == w for w in long) / len(long) > 0.7
+    lexicon = {**lexicon, "year-end": 50, "long-term": 50}
+    editor = scans.Editor(lexicon, scans.train_editor(lexicon))
+    assert all(editor.join(w[:3], w[3:]) == "join" for w in long) and editor.join("year", "end") == editor.join("long", "term") == "hyphen"
+
+
+def test_page_numbers_are_told_from_other_figures():
+    text = "The margin rose in the quarter\n{}\nand costs fell again in the year\nbecause of lower bonuses"
+    weights = scans.train_pages([(text.format(x), "", True) for x in [f"{a} {i}{b} or so" for i in range(12, 32) for a, b in (("so it went on in 20", ""), ("by", "%"), ("it took", " weeks"))]])
+    repairer = scans.Repairer({}, {}, {}, {}, weights)
+    kind = lambda line: repairer.furniture(text.format(line).split("\n"), "doc")[1]
+    assert [kind(x) for x in ("7", "- 12 -", "Page 3", "Page 41 of 60", "p. 9", "[54]", "13 / 49")] == ["pageno"] * 7
+    assert [kind(x) for x in ("2019", "14.5%", "in Q3 2019", "12.6% of plan.", "[00:30:01] Right.", "£54m")] == [""] * 6
 
 
 def test_abuse(spark):
