@@ -58,7 +58,7 @@ def test_operator_counts_repeats_once_and_takes_empty_tables(spark):
 
 
 def test_windows_of_a_context_are_ranked_by_their_cuts():
-    assert units.offered("(all figures in billions of sterling) Income: # after 6 one-off items.", "money")[0] == "billions of sterling"
-    assert units.offered("Headcount in full-time equivalents: #, in June", "heads") == ("full-time equivalents",)
-    assert units.offered("The capital ratio (‰): # in Q4 2024, up 5%", "ratio")[0] == "‰"
-    assert units.offered("In 12 months the book of m metres in Leeds fell", "money") == () and units.offered("", "money") == ()
+    assert U.offered("(all figures in billions of sterling) Income: # after 6 one-off items.", "money")[0] == "billions of sterling"
+    assert U.offered("Headcount in full-time equivalents: #, in June", "heads") == ("full-time equivalents",)
+    assert U.offered("The capital ratio (‰): # in Q4 2024, up 5%", "ratio")[0] == "‰"
+    assert U.offered("In 12 months the book of m metres in Leeds fell", "money") == () and U.offered("", "money") == ()
