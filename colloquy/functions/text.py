@@ -155,16 +155,28 @@ def word_count(text: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
 
 
+def handed_over(text: Column) -> Column:
+    """Whether a sentence has a phrase of an operator handing over."""
+    return F.lower(text).rlike(r"\b(?:" + "|".join(config.HANDOVER) + r")\b")
+
+
+def without_handover(text: Column) -> Column:
+    """The text without the sentences in which an operator hands over."""
+    sentences = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.?!]*[.?!]|[^.?!]+"), F.lit(0))
+    return F.array_join(F.filter(sentences, lambda s: ~handed_over(s)), " ")
+
+
 def untagged_reason(question: Column, other: Column, least: int = 15) -> Column:
-    """Why a question has no bucket: the first that holds of five reasons."""
+    """Why a question has no bucket: the first that holds of five reasons.
+
+    operator_handover: sentences of an operator were there, and without them under ``least`` words and no question are left.
+    """
     q = F.coalesce(question, F.lit(""))
-    handed = F.lit(False)
-    for phrase in config.HANDOVER:
-        handed = handed | F.lower(q).contains(phrase)
-    n = word_count(question)
+    left = without_handover(question)
+    n, n_left = word_count(question), word_count(left)
     asks = q.contains("?")
     return (
-        F.when(handed & (n < least) & ~asks, "operator_handover")
+        F.when((n_left < n) & (n_left < least) & ~left.contains("?"), "operator_handover")
         .when((n < least) & ~asks, "courtesy_or_fragment")
         .when(other != "untagged", "coder1_tagged")
         .when(n < least, "short_follow_up")

@@ -1,8 +1,8 @@
 """Turns into question and answer pairs, by windows over each source.
 
 A question is a turn of an analyst, or of somebody tagged analyst elsewhere in the source (a follow-up).
-Its answer are the management turns up to the first other turn. Ids number the analysts' questions;
-follow-ups keep the number and add a letter. Rows of a (source, turn_no) delivered again count once.
+Its answer are the management turns up to the first other turn. Ids number the analysts' questions, in
+three figures or more; follow-ups keep the number and add a letter, from the 26th on z and their number. Rows of a (source, turn_no) delivered again count once.
 Null sources or turn numbers are left out; empty tables give an empty result.
 """
 
@@ -42,37 +42,56 @@ def pair_qa(turns: DataFrame) -> DataFrame:
     rows = numbered.withColumn("follow", follow).withColumn("managed", managed).where("qid > 0 and (is_q or managed = 1)")
     answers = F.array_sort(F.collect_list(F.when(~F.col("is_q"), F.struct("turn_no", F.coalesce("text", F.lit("")).alias("text")))))
     q = F.max(F.when(F.col("is_q"), F.struct("turn_no", "bank", "quarter", "speaker", "text", "pid", "follow")))
-    letter = F.when(F.col("q.follow") > 0, F.char(F.lit(97) + F.col("q.follow"))).otherwise("")
+    f, pid = F.col("q.follow"), F.col("q.pid").cast("string")
+    letter = F.when(f > 25, F.concat(F.lit("z"), f.cast("string"))).when(f > 0, F.char(F.lit(97) + f)).otherwise("")
+    number = F.when(F.length(pid) < 3, F.lpad(pid, 3, "0")).otherwise(pid)  # lpad alone would cut a longer number
     return (
         rows.groupBy("source", "qid").agg(q.alias("q"), answers.alias("a"))
         .select(
-            F.concat(F.coalesce("q.bank", F.lit("")), F.lit("_"), F.coalesce("q.quarter", F.lit("")), F.lit("_"), F.lpad(F.col("q.pid").cast("string"), 3, "0"), letter).alias("pair_id"),
+            F.concat(F.coalesce("q.bank", F.lit("")), F.lit("_"), F.coalesce("q.quarter", F.lit("")), F.lit("_"), number, letter).alias("pair_id"),
             "q.bank", "q.quarter", "source", F.col("q.turn_no").alias("question_turn"), F.col("q.speaker").alias("analyst"), F.col("q.text").alias("question_text"),
             F.array_join(F.transform("a", lambda x: x["text"]), " ").alias("answer_text"), F.size("a").alias("n_answer_turns"),
         )
     )
 
 
+def safe_ids(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with their ids as source_pair_id, and in pair_id the source's slug added to ids that more than one row has.
+
+    A null source is ``unknown-source``. Rows of one source that share an id keep sharing one.
+    """
+    bare = F.regexp_replace(F.coalesce("source", F.lit("unknown-source")), r"\.[^.]+$", "")
+    slug = F.lower(F.regexp_replace(F.regexp_replace(bare, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
+    shared = pairs.groupBy("pair_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    return (
+        pairs.join(shared, "pair_id", "left")
+        .withColumn("source_pair_id", F.col("pair_id"))
+        .withColumn("pair_id", F.when(F.col("_n") > 1, F.concat("pair_id", F.lit("__"), slug)).otherwise(F.col("pair_id"))).drop("_n")
+    )
+
+
 def split_bleed(question: str, names: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows whose ``question`` holds a line that is only a known name: the text before, and from it on.
 
-    ``names`` is a small table (name); it is matched as one alternation, built on the driver from at
-    most 5,000 names.
+    Lines are joined with ``names`` (name), however many there are; a row without a question keeps it.
     """
-    import re
-
-    known = [r["name"] for r in names.where("name is not null").distinct().orderBy(F.length("name").desc(), "name").limit(5_000).collect()]
-    if not known:
-        return rows.withColumn("before", F.col(question)).withColumn("bleed", F.lit(""))
-    at = F.regexp_instr(F.col(question), F.lit(r"(?m)^[ \t]*(?:" + "|".join(map(re.escape, known)) + r")[ \t]*$"))
+    cols = [F.col(c) for c in rows.columns]
+    known = names.where("name is not null").select(F.trim("name").alias("_line"), F.lit(True).alias("_known")).distinct()
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row", F.struct(*cols).alias("_r"), F.posexplode_outer(F.split(F.col(question), "\n")).alias("_at", "_text")
+    )
+    first = (
+        numbered.withColumn("_line", F.trim(F.translate("_text", "\t\r", "  "))).join(known, "_line", "left")
+        .groupBy("_row").agg(F.first("_r").alias("_r"), F.min(F.when(F.col("_known"), F.col("_at"))).alias("_at"))
+    )
+    lines, q, found = F.split(F.col(question), "\n"), F.col(question), F.col("_at").isNotNull()
 
     def tidy(c):
         return F.regexp_replace(c, r"^\s+|\s+$", "")
 
-    found = at > 0
-    before = F.when(found, tidy(F.substring(F.col(question), F.lit(1), at - 1))).otherwise(F.col(question))
-    bleed = F.when(found, tidy(F.substring(F.col(question), at, F.length(question)))).otherwise(F.lit(""))
-    return rows.withColumn("before", before).withColumn("bleed", bleed)
+    before = F.when(found, tidy(F.array_join(F.slice(lines, F.lit(1), F.col("_at")), "\n"))).otherwise(q)
+    bleed = F.when(found, tidy(F.array_join(F.slice(lines, F.col("_at") + 1, F.size(lines)), "\n"))).otherwise(F.lit(""))
+    return first.select("_r.*", "_at").withColumn("before", before).withColumn("bleed", bleed).drop("_at")
 
 
 def behaviour(pairs: DataFrame) -> DataFrame:

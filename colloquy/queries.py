@@ -230,7 +230,7 @@ f AS (SELECT *, sum(CAST(is_q AND NOT is_a AS INTEGER)) OVER (PARTITION BY sourc
 r AS (SELECT * FROM f WHERE qid > 0 AND (is_q OR managed = 1)),
 q AS (SELECT source, qid, turn_no AS question_turn, bank, quarter, speaker AS analyst, text AS question_text, pid, follow FROM r WHERE is_q),
 a AS (SELECT source, qid, string_agg(coalesce(text, ''), ' ' ORDER BY turn_no) AS answer_text, count(*) AS n FROM r WHERE NOT is_q GROUP BY 1, 2)
-SELECT coalesce(bank, '') || '_' || coalesce(quarter, '') || '_' || lpad(CAST(CAST(pid AS BIGINT) AS VARCHAR), 3, '0') || CASE WHEN follow > 0 THEN chr(CAST(97 + follow AS INTEGER)) ELSE '' END AS pair_id, bank, quarter, q.source, question_turn, analyst, question_text,
+SELECT coalesce(bank, '') || '_' || coalesce(quarter, '') || '_' || CASE WHEN pid < 10 THEN '00' WHEN pid < 100 THEN '0' ELSE '' END || CAST(CAST(pid AS BIGINT) AS VARCHAR) || CASE WHEN follow > 25 THEN 'z' || CAST(CAST(follow AS BIGINT) AS VARCHAR) WHEN follow > 0 THEN chr(CAST(97 + follow AS INTEGER)) ELSE '' END AS pair_id, bank, quarter, q.source, question_turn, analyst, question_text,
 coalesce(answer_text, '') AS answer_text, CAST(coalesce(n, 0) AS INTEGER) AS n_answer_turns FROM q LEFT JOIN a ON a.source = q.source AND a.qid = q.qid""")
 def pair_qa(s, d):
     return pairing.pair_qa(table(s, d, "corpus_analyst"))
@@ -356,10 +356,13 @@ def model_confusion(s, d):
     return _gold(s, d).groupBy("gold", "guess").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {O.pairs_labelled()}, u AS (SELECT pair_id, question_text, cq, ({O.WC if hasattr(O, 'WC') else WC.replace('answer_text', 'question_text')}) AS n, coalesce(question_text, '') LIKE '%?%' AS asks,
-({' OR '.join(f"contains(lower(coalesce(question_text, '')), '{h}')" for h in config.HANDOVER)}) AS handed FROM lab WHERE bq = 'untagged'),
-r AS (SELECT pair_id, CASE WHEN handed AND n < 15 AND NOT asks THEN 'operator_handover' WHEN n < 15 AND NOT asks THEN 'courtesy_or_fragment' WHEN cq <> 'untagged' THEN 'coder1_tagged' WHEN n < 15 THEN 'short_follow_up' ELSE 'off_seed' END AS untagged_reason FROM u)
-SELECT *, untagged_reason NOT IN ('operator_handover', 'courtesy_or_fragment') AS in_analysis FROM r""")
+_over = r"\b(next question|please go ahead|your line is (now )?open|please ask your question|that concludes|no further questions)\b"
+
+
+@query(f"""WITH {O.pairs_labelled()}, u AS (SELECT pair_id, cq, coalesce(question_text, '') AS q, regexp_replace(coalesce(question_text, ''), '(?i)[^.?!]*{_over}[^.?!]*[.?!]?', ' ', 'g') AS rest, {O.blank('answer_text')} AS answer_missing FROM lab WHERE bq = 'untagged'),
+c AS (SELECT *, len(regexp_extract_all(q, '\\S+')) AS n, len(regexp_extract_all(rest, '\\S+')) AS n_rest FROM u),
+r AS (SELECT pair_id, CASE WHEN n_rest < n AND n_rest < 15 AND NOT contains(rest, '?') THEN 'operator_handover' WHEN n < 15 AND NOT contains(q, '?') THEN 'courtesy_or_fragment' WHEN cq <> 'untagged' THEN 'coder1_tagged' WHEN n < 15 THEN 'short_follow_up' ELSE 'off_seed' END AS untagged_reason,
+regexp_matches(q, '(?i){_over}') AS operator_bleed, answer_missing FROM c) SELECT *, untagged_reason NOT IN ('operator_handover', 'courtesy_or_fragment') AS in_analysis FROM r""")
 def untagged_reasons(s, d):
     return evidence.untagged(pairs(s, d))
 
@@ -611,7 +614,23 @@ def topic_coherence(s, d):
 def scoring_texts(s, d):
     t = table(s, d, "documents")
     known = normalise.known_words(t, "text")
-    return t.select("doc_id", normalise.for_scoring(normalise.normal_form(F.col("text"), known)).alias("text"))
+    names = [r["full_name"] for r in table(s, d, "speakers").where("full_name is not null").select("full_name").distinct().limit(normalise.MAX_NAMES + 1).collect()]
+    return t.select("doc_id", normalise.for_scoring(normalise.normal_form(F.col("text"), known), names).alias("text"))
+
+
+@query("""WITH p AS (SELECT DISTINCT pair_id, source FROM qa_pairs), k AS (SELECT regexp_replace(pair_id, '^.*_', '') AS pair_id, source FROM p), n AS (SELECT pair_id, count(*) AS n FROM k GROUP BY 1)
+SELECT k.pair_id AS source_pair_id, k.source, CASE WHEN n > 1 THEN k.pair_id || '__' || lower(regexp_replace(regexp_replace(regexp_replace(coalesce(k.source, 'unknown-source'), '\\.[^.]+$', ''), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) ELSE k.pair_id END AS pair_id FROM k JOIN n USING (pair_id)""")
+def collision_safe_ids(s, d):
+    p = table(s, d, "qa_pairs").select(F.regexp_replace("pair_id", "^.*_", "").alias("pair_id"), "source", F.col("pair_id").alias("whole")).distinct().drop("whole")
+    return pairing.safe_ids(p).select("source_pair_id", "source", "pair_id")
+
+
+@query("""WITH names AS (SELECT DISTINCT trim(full_name) AS line FROM speakers WHERE full_name IS NOT NULL), t AS (SELECT row_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM corpus_analyst WHERE text IS NOT NULL),
+f AS (SELECT row_id, min(pos) AS pos FROM t JOIN names ON trim(replace(replace(t.line, chr(9), ' '), chr(13), ' ')) = names.line GROUP BY 1)
+SELECT c.row_id, f.pos IS NOT NULL AS split FROM corpus_analyst c LEFT JOIN f ON f.row_id = c.row_id""")
+def bleed_lines(s, d):
+    names = table(s, d, "speakers").select(F.col("full_name").alias("name"))
+    return pairing.split_bleed("text", names, table(s, d, "corpus_analyst").select("row_id", "text")).select("row_id", (F.col("bleed") != "").alias("split"))
 
 
 @query(f"""WITH {O.SCORED}, {O.PAIRS} SELECT p.pair_id, count(s.row_id) AS n_same_period, round(avg(s.net), 6) AS period_net FROM pairs p LEFT JOIN scored s ON p.bank = s.bank AND {O.cp('p.quarter')} = {O.cp('s.quarter')} GROUP BY 1""")

@@ -178,3 +178,41 @@ def test_kappa_interval_draws_poisson_counts(spark):
     assert got["resamples"] > 1_900
     assert abs(got["low"] - low) < 0.1 and abs(got["high"] - high) < 0.1  # values of few pairs lie 0.06 apart
     assert agreement.bootstrap_kappa(spark.createDataFrame([], "label_a string, label_b string")).first()["resamples"] == 0
+
+
+def test_ids_stay_apart_past_a_thousand_questions_and_26_follow_ups(spark):
+    rows = [(n, "s", n, "Ann" if n <= 1204 else "Bob", "analyst" if n <= 1204 else "management", f"q{n}", "b", "q") for n in range(1, 1206)]
+    rows += [(2000 + n, "t", n, "Ann", "analyst" if n == 0 else "other", f"t{n}", "b", "q") for n in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, source string, turn_no int, speaker string, role string, text string, bank string, quarter string")
+    got = {(r["source"], r["pair_id"]) for r in pairing.pair_qa(df).collect()}
+    assert len(got) == 1204 + 40 and ("s", "b_q_007") in got and ("s", "b_q_1204") in got and ("t", "b_q_001z") in got and ("t", "b_q_001z26") in got
+
+
+def test_ids_met_twice_get_their_source(spark):
+    rows = spark.createDataFrame([("a_1", "One File.txt"), ("a_1", "two.pdf"), ("a_2", "two.pdf"), ("a_1", None)], "pair_id string, source string")
+    got = {(r["source_pair_id"], r["pair_id"]) for r in pairing.safe_ids(rows).collect()}
+    assert got == {("a_1", "a_1__one-file"), ("a_1", "a_1__two"), ("a_2", "a_2"), ("a_1", "a_1__unknown-source")}
+
+
+def test_long_handovers_are_told_from_questions(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.functions import text as T
+
+    long = "Thank you all very much indeed for that. Our next question today comes from the line of Ann Lee at Elm Research, please go ahead when you are ready."
+    rows = [(long, "operator_handover"), (long + " Why did it fall?", "off_seed"), ("Thanks a lot.", "courtesy_or_fragment"), ("And why?", "short_follow_up"), (None, "courtesy_or_fragment"), ("word " * 20, "off_seed")]
+    df = spark.createDataFrame(rows, "q string, want string")
+    assert [r["got"] for r in df.select(T.untagged_reason(F.col("q"), F.lit("untagged")).alias("got")).collect()] == [w for _, w in rows]
+
+
+def test_bleed_with_many_names_and_rows_without_text(spark):
+    names = spark.range(9_000).selectExpr("concat('Name ', id) AS name")
+    rows = spark.createDataFrame([("Why?\n  Name 8999\nSo.\nName 3\nx", 1), (None, 2), ("", 3), ("Name 1", 4)], "q string, k int")
+    got = {r["k"]: (r["before"], r["bleed"]) for r in pairing.split_bleed("q", names, rows).collect()}
+    assert got == {1: ("Why?", "Name 8999\nSo.\nName 3\nx"), 2: (None, ""), 3: ("", ""), 4: ("", "Name 1")}
+
+
+def test_figures_carry_context_and_horizon(spark):
+    df = spark.createDataFrame([("p", "Income in FY 2023 was 512 against 498 this year", "It rose 5% to £3.2bn, see 2019")], "pair_id string, question_text string, answer_text string")
+    got = {r["span"]: (r["value"], r["unit"], r["time_horizon"]) for r in evidence.figures(df).collect()}
+    assert got["512"] == (512.0, "", "fy 2023") and got["5%"][:2] == (5.0, "%") and got["£3.2bn"][:2] == (3.2, "bn") and "2019" not in got
