@@ -45,7 +45,7 @@ FIELDS = {"q_label": SENTIMENT, "a_label": SENTIMENT, "addressed": ADDRESSED, "c
 #: Regularisation of coder and item tiltings, most rounds, most steps of an item, and the largest staff.
 ALPHA, BETA, ROUNDS, ITEM_STEPS, MAX_CODERS = 1.0, 8.0, 40, 12, 20_000
 #: Rise of the dual, as a share of it, below which the ascent ends; and below which an item's ends.
-TOLERANCE, ITEM_TOLERANCE = 1e-6, 1e-5
+TOLERANCE, ITEM_TOLERANCE = 1e-6, 1e-3
 #: A vote is coder * LABELS + label.
 LABELS = 8
 
