@@ -5,7 +5,8 @@ Averaged perceptrons, trained here on every run from the corpus itself:
 * a character editor that predicts for each character keep, a replacement of CONFUSIONS, delete, or
   insert. It is trained on words of the lexicon that were misread on purpose, and decodes a word outside
   the lexicon by a search over edit sequences whose result stays a prefix of some lexicon word, with one
-  edit for every EDIT_LETTERS letters (two at least). At a line end with a hyphen its operations are to join
+  edit for every EDIT_LETTERS letters (two at least); where no replacements make a word, one letter is
+  dropped or added. At a line end with a hyphen its operations are to join
   with or without the hyphen or to keep the parts; they are trained on lexicon words broken on purpose;
 * two line classifiers with page-position features (place on the page, width against the page's lines,
   whether the sentence runs on around it) that find running headers and page numbers.
@@ -38,8 +39,9 @@ from colloquy.session import cut, spread
 LEAST_SHARE, LEAST_COUNT = 1e-6, 3
 #: Lexicon words the editor is trained on, most frequent first, and passes over them.
 TRAIN_WORDS, PASSES = 3_000, 3
-#: Letters of a word per edit, and what an edit costs beside its score: a known confusion, and a letter dropped or added.
-EDIT_LETTERS, CONFUSED, DROPPED = 3, 2.0, 12.0
+#: Letters of a word per edit, what a known confusion costs beside its score, and by how much keeping a letter may score above
+#: dropping it or adding one before it, where nothing else makes a word of the lexicon.
+EDIT_LETTERS, CONFUSED, LOOSE = 3, 2.0, 20.0
 #: Strings and what they are misread as.
 CONFUSIONS = {
     "a": ["o"], "b": ["6", "h"], "c": ["e", "("], "d": ["cl", "ci"], "e": ["c"], "f": ["t"], "g": ["9", "q"], "h": ["b", "li"],
@@ -108,32 +110,39 @@ class Editor:
         n = len(word)
         if n < 3 or word in self.lexicon:
             return None
-        # of each place and output so far (a prefix of lexicon words) the best (score, edits); at most two letters are dropped or added
+        # of each place and output so far (a prefix of lexicon words) the best (score, edits)
         most, layers = max(2, n // EDIT_LETTERS), [{} for _ in range(n + 1)]
-        layers[0]["", 0] = (0.0, 0)
+        layers[0][""] = (0.0, 0)
         for at in range(n):
-            options = [(1, word[at], "keep", 0.0)]
-            options += [(k, right, f"{wrong}>{right}", CONFUSED) for wrong, right, k in self.ops.get(word[at], ()) if word.startswith(wrong, at)]
-            scored = [(k, piece, self.score(word, at, k, op) - cost, op != "keep") for k, piece, op, cost in options]
-            drop = self.score(word, at, 1, "delete") - DROPPED if word[at].isalpha() else None
-            add = self.score(word, at, 1, "insert") - DROPPED
-            for (out, loose), (score, edits) in list(layers[at].items()):
-                for k, piece, gain, edit in scored:
-                    self._put(layers[at + k], out + piece, loose, score + gain, edits + edit, most)
-                if loose < 1 and n > 4:
-                    if drop is not None:
-                        self._put(layers[at + 1], out, loose + 1, score + drop, edits + 1, most)
-                    for letter in self.next(out) if at else "":  # the letter goes before the one that is kept
-                        if out + letter + word[at] in self.prefixes:
-                            self._put(layers[at + 1], out + letter + word[at], loose + 1, score + add, edits + 1, most)
-        found = [(s, self.lexicon[o], o) for (o, _), (s, e) in layers[n].items() if o in self.lexicon and e]
-        if not found:
-            return None
-        return max(found)[2]
-
-    def _put(self, layer: dict, out: str, loose: int, score: float, edits: int, most: int) -> None:
-        if edits <= most and out in self.prefixes and ((out, loose) not in layer or score > layer[out, loose][0]):
-            layer[out, loose] = (score, edits)
+            here = layers[at]
+            if not here:
+                continue
+            options = [(1, word[at], self.score(word, at, 1, "keep"), 0)]
+            options += [(k, right, self.score(word, at, k, f"{wrong}>{right}") - CONFUSED, 1) for wrong, right, k in self.ops.get(word[at], ()) if word.startswith(wrong, at)]
+            for out, (score, edits) in here.items():
+                for k, piece, gain, edit in options:
+                    new = out + piece
+                    if edits + edit <= most and new in self.prefixes:
+                        old = layers[at + k].get(new)
+                        if old is None or score + gain > old[0]:
+                            layers[at + k][new] = (score + gain, edits + edit)
+        found = [(s, self.lexicon[o], o) for o, (s, e) in layers[n].items() if o in self.lexicon and e]
+        found = found or [(s, self.lexicon[o], o) for s, o in self._loose(word)]
+        return max(found)[2] if found else None
+
+    def _loose(self, word: str) -> list[tuple[float, str]]:
+        """(score, lexicon word) of the words with one letter less or more; the score is that of the edit against keeping."""
+        out, n = [], len(word)
+        if n < 5:
+            return out
+        for i in range(n):
+            if word[i].isalpha() and (w := word[:i] + word[i + 1 :]) in self.lexicon:
+                out.append((self.score(word, i, 1, "delete") - self.score(word, i, 1, "keep"), w))
+            if i and word[:i] in self.prefixes:
+                for letter in self.next(word[:i]):  # a letter is missing before the one at i
+                    if (w := word[:i] + letter + word[i:]) in self.lexicon:
+                        out.append((self.score(word, i, 1, "insert") - self.score(word, i, 1, "keep"), w))
+        return [x for x in out if x[0] > -LOOSE]
 
     def next(self, prefix: str) -> str:
         """The letters that go on from a prefix."""
