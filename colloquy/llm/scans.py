@@ -276,6 +276,8 @@ def page_features(lines: list[str], i: int, width: float, wrapped: bool) -> list
     return out + [f"named {w} {len(figures) > 0}" for w in names[:2]] + [f"alone {len(words) == 1 and bool(figures)} digits {max((len(w) for w in figures), default=0)}"]
 
 
+#: Most characters of a line that may be a page number.
+PAGE_WIDTH = 40
 #: Makes of page numbers; {n} and {m} are figures.
 PAGE_MAKES = ["{n}", "- {n} -", "– {n} –", "[{n}]", "({n})", "Page {n}", "page {n} of {m}", "Page {n}/{m}", "p. {n}", "pg {n}", "Seite {n}", "Seite {n} von {m}", "página {n}", "página {n} de {m}", "{n}/{m}", "{n} / {m}", "Page {n} / {m}", "{n} of {m}", "| {n} |", "PAGE {n}", "P. {n}"]
 #: Makes of lines with figures that are none.
@@ -378,6 +380,7 @@ class Repairer:
     def __init__(self, lexicon: dict[str, int], editor: dict, lines: dict[str, float], forms: dict[str, int], pages: dict[str, float]):
         self.editor = Editor(lexicon, editor)
         self.lexicon, self.lines, self.forms, self.pages = lexicon, lines, forms, pages
+        self.word = lru_cache(maxsize=200_000)(self._word)
 
     def furniture(self, lines: list[str], document: str | None) -> list[str]:
         """'pageno', 'header' or '' for each line."""
@@ -387,7 +390,7 @@ class Repairer:
         for i, line in enumerate(lines):
             if not line.strip():
                 out.append("")
-            elif len(lines) > 1 and DIGITS.search(line) and sum(self.pages.get(f, 0.0) for f in page_features(lines, i, width, wrapped)) > 0:
+            elif 1 < len(lines) and len(line.strip()) <= PAGE_WIDTH and DIGITS.search(line) and sum(self.pages.get(f, 0.0) for f in page_features(lines, i, width, wrapped)) > 0:
                 out.append("pageno")
             elif len(lines) < 2 or line.strip()[-1] in END + ",;:" or line.strip()[:1].islower() or not CASED.search(line) or "-->" in line:
                 out.append("")
@@ -396,7 +399,7 @@ class Repairer:
                 out.append("header" if s > 0 else "")
         return out
 
-    def word(self, raw: str) -> str | None:
+    def _word(self, raw: str) -> str | None:
         """The right word of a token in lower case, if it is misread."""
         w = raw.strip(EDGE).lower()
         if len(w) < 2 or w in self.lexicon or not LETTERS.search(w) or "--" in raw or FIGURE.search(w.translate(_NOT_MISREAD)):
