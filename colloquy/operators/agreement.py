@@ -161,3 +161,20 @@ def bootstrap_kappa(pairs: DataFrame, resamples: int = 2_000, seed: int = 0) ->
     pe = a.join(b, ["rep", "l"]).groupBy("rep").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
     k = tot.join(pe, "rep").select(F.try_divide(F.col("same") / F.col("t") - F.col("ab") / (F.col("t") * F.col("t")), 1 - F.col("ab") / (F.col("t") * F.col("t"))).alias("k"))
     return k.agg(F.count("k").alias("resamples"), F.percentile("k", F.lit(0.025)).alias("low"), F.percentile("k", F.lit(0.975)).alias("high"))
+
+
+def bundle(long: DataFrame) -> DataFrame:
+    """(unit, side, n, raw, kappa, macro_f1) of labels (unit, side, item, gold, guess) per side and pooled over the sides.
+
+    A unit is what labelled (a model, a coder); null labels don't count; a unit or side without labels has no row.
+    """
+    some = long.where("gold is not null and guess is not null").select("unit", "side", "gold", "guess")
+    both = some.unionByName(some.withColumn("side", F.lit("pooled")))
+    k = kappa(both.select("unit", "side", F.col("gold").alias("label_a"), F.col("guess").alias("label_b")), "unit", "side")
+    label = F.explode(F.array_distinct(F.array("gold", "guess"))).alias("label")
+    per = both.select("unit", "side", "gold", "guess", label).groupBy("unit", "side", "label").agg(
+        F.sum((F.col("gold") == F.col("label")).cast("int")).alias("a"), F.sum((F.col("guess") == F.col("label")).cast("int")).alias("b"),
+        F.sum(((F.col("gold") == F.col("label")) & (F.col("guess") == F.col("label"))).cast("int")).alias("h"),
+    )
+    f1 = per.groupBy("unit", "side").agg(F.round(F.avg(2 * F.col("h") / (F.col("a") + F.col("b"))), 5).alias("macro_f1"))
+    return k.join(f1, ["unit", "side"]).select("unit", "side", "n", "raw", "kappa", "macro_f1")

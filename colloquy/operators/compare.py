@@ -201,3 +201,28 @@ def press_against_calls(press: DataFrame, calls: DataFrame, least: int = 3) -> D
     a = press.where("net is not null").groupBy("bank").agg(F.count("*").alias("n_press"), F.round(F.avg("net"), 6).alias("press_net"))
     b = calls.where("net is not null").groupBy("bank").agg(F.round(F.avg("net"), 6).alias("calls_net"))
     return a.join(b, "bank", "left").select("bank", "n_press", "press_net", "calls_net", F.round(F.col("press_net") - F.col("calls_net"), 6).alias("gap"), (F.col("n_press") >= least).alias("treat_as_signal"))
+
+
+def attach_topic(pairs: DataFrame, corpus: DataFrame, topic: str) -> DataFrame:
+    """``pairs`` with the topic of the corpus row of the same bank, quarter and trimmed text; null if none has it.
+
+    A text of several rows has the topic of the smallest row_id that has one, so no pair is doubled.
+    """
+    key = F.trim("text")
+    once = (
+        corpus.where(F.col(topic).isNotNull() & F.col("text").isNotNull()).groupBy(F.col("bank").alias("_b"), F.col("quarter").alias("_q"), key.alias("_t"))
+        .agg(F.min_by(topic, "row_id").alias(topic))
+    )
+    on = (F.col("bank") == F.col("_b")) & (F.col("quarter") == F.col("_q")) & (F.trim("question_text") == F.col("_t"))
+    return pairs.join(once, on, "left").drop("_b", "_q", "_t")
+
+
+def topic_quarter_net(scored: DataFrame, topic: str) -> DataFrame:
+    """(topic, quarter, mean_net, n): tone of a topic in each quarter; rows without a net don't count."""
+    return scored.where("net is not null").groupBy(F.col(topic).alias("topic"), "quarter").agg(F.round(F.avg("net"), 6).alias("mean_net"), F.count("*").alias("n"))
+
+
+def quotes(scored: DataFrame, key: str, by: list[str], most: int = 5) -> DataFrame:
+    """The ``most`` rows of each group by label (negative first, as in the alphabet), then strength, then key."""
+    w = Window.partitionBy(*by).orderBy(F.col("label").asc_nulls_last(), F.abs("net").desc_nulls_last(), key)
+    return scored.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)

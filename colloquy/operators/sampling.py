@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.plans import blocks
+from colloquy.session import small
 
 
 def ticket(key: Column, seed: str) -> Column:
@@ -80,3 +81,23 @@ def keep_one(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 def replace_group(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
     """``old`` without the groups of ``new``, and ``new``."""
     return old.join(new.select(column).distinct(), column, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
+
+
+def proportional(rows: DataFrame, key: str, by: str, n: int, seed: str) -> DataFrame:
+    """``n`` rows, of each class of ``by`` in proportion to its size (rounded down, one at least), filled up from the others.
+
+    In both steps rows come in order of the hash of id and seed; fewer than ``n`` rows are all kept.
+    """
+    order = F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), F.col(key))
+    total = F.sum("_n").over(Window.partitionBy(F.lit(0)))  # over one row a class
+    sizes = rows.groupBy(F.col(by).alias("_class")).agg(F.count("*").alias("_n"))
+    quota = sizes.select("_class", F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_n") / total)).alias("_quota"))
+    w = Window.partitionBy(by).orderBy(order)
+    ranked = rows.join(small(quota), F.col(by).eqNullSafe(F.col("_class"))).withColumn("_nth", F.row_number().over(w))
+    first = ranked.withColumn("_first", (F.col("_nth") <= F.col("_quota")).cast("int"))
+    return first.orderBy(F.desc("_first"), order).limit(n).drop("_class", "_quota", "_nth", "_first")
+
+
+def first_in_order(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each group in an order."""
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_nth") <= k).drop("_nth")

@@ -572,6 +572,65 @@ def replaced_bank(s, d):
     return sampling.replace_group(m.where("bank is not null and source is not null"), new, "bank")
 
 
+@query(f"""WITH {O.PAIRS}, z AS (SELECT bank, count(*) AS n, (SELECT count(*) FROM pairs) AS t FROM pairs GROUP BY 1), r AS (SELECT pair_id, p.bank, md5(pair_id || '|prop') AS h, row_number() OVER (PARTITION BY p.bank ORDER BY md5(pair_id || '|prop'), pair_id) <= greatest(1, floor(60 * z.n / z.t)) AS first
+FROM pairs p JOIN z ON p.bank IS NOT DISTINCT FROM z.bank) SELECT pair_id, bank FROM r ORDER BY first DESC, h, pair_id LIMIT 60""")
+def proportional_sample(s, d):
+    return sampling.proportional(pairs(s, d), "pair_id", "bank", 60, "prop").select("pair_id", "bank")
+
+
+@query(f"""WITH {O.PAIRS} SELECT bank, quarter, pair_id FROM pairs QUALIFY row_number() OVER (PARTITION BY bank, quarter ORDER BY pair_id) <= 6""")
+def first_pairs(s, d):
+    return sampling.first_in_order(pairs(s, d).select("bank", "quarter", "pair_id"), ["bank", "quarter"], ["pair_id"], 6)
+
+
+@query(f"""WITH {O.SCORED} SELECT bank, row_id, label, CAST(row_number() OVER w AS INTEGER) AS nth FROM scored WINDOW w AS (PARTITION BY bank ORDER BY label ASC NULLS LAST, abs(net) DESC NULLS LAST, row_id) QUALIFY nth <= 5""")
+def bank_quotes(s, d):
+    return compare.quotes(scored(s, d), "row_id", ["bank"]).select("bank", "row_id", "label", "nth")
+
+
+@query(f"""WITH {O.SCORED} SELECT {O.bucket(O.norm('text'))} AS topic, quarter, round(avg(net), 6) AS mean_net, count(*) AS n FROM scored WHERE net IS NOT NULL GROUP BY 1, 2""")
+def topic_quarters(s, d):
+    return compare.topic_quarter_net(scored(s, d).withColumn("t", text.bucket(text.normal(F.col("text")))), "t")
+
+
+@query("""WITH turn AS (SELECT bank, quarter, trim(text, ' ') AS t, arg_min(seed_topic, row_id) AS seed_topic FROM corpus_analyst WHERE seed_topic IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2, 3),
+p AS (SELECT min(row_id) AS row_id, source, turn_no, bank, quarter, text AS question_text FROM corpus_analyst WHERE role = 'analyst' GROUP BY ALL)
+SELECT p.row_id, turn.seed_topic AS topic FROM p LEFT JOIN turn ON p.bank = turn.bank AND p.quarter = turn.quarter AND trim(p.question_text, ' ') = turn.t""")
+def questions_with_topic(s, d):
+    t = table(s, d, "corpus_analyst")
+    asked = t.where("role = 'analyst'").groupBy("source", "turn_no", "bank", "quarter", F.col("text").alias("question_text")).agg(F.min("row_id").alias("row_id"))
+    return compare.attach_topic(asked, t, "seed_topic").select("row_id", F.col("seed_topic").alias("topic"))
+
+
+@query(f"""WITH {O.pairs_labelled()}, {O.behaviour_sql()}, st AS (SELECT bank, {O.cp('quarter')} AS calendar_period, count(*) AS n_pairs, round(avg(directness), 6) AS mean_directness FROM behaviour GROUP BY 1, 2),
+{O.reported()}, d AS (SELECT bank, calendar_period, """ + ", ".join(f"max(CASE WHEN metric = '{m}' THEN direction END) AS {m}" for m in config.METRIC_WORDS) + """ FROM reported GROUP BY 1, 2)
+SELECT st.*, """ + ", ".join(config.METRIC_WORDS) + """ FROM st LEFT JOIN d ON d.bank = st.bank AND d.calendar_period = st.calendar_period""")
+def state_with_directions(s, d):
+    r = compare.reported_metrics(table(s, d, "numeric_claims"))
+    wide = r.groupBy("bank", "calendar_period").agg(*[F.max(F.when(F.col("metric") == m, F.col("direction"))).alias(m) for m in config.METRIC_WORDS])
+    state = pairing.behaviour(pairs(s, d)).groupBy("bank", periods.calendar_period(F.col("quarter")).alias("calendar_period")).agg(
+        F.count("*").alias("n_pairs"), F.round(F.avg("directness"), 6).alias("mean_directness")
+    )
+    return state.join(wide, ["bank", "calendar_period"], "left")
+
+
+_sides = " UNION ALL ".join(f"SELECT coder AS unit, '{f}' AS side, pair_id, lower(trim({f})) AS guess FROM coder_labels" for f in ("q_label", "a_label"))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT * FROM ({_sides}) WHERE guess IN ('negative', 'neutral', 'positive')), votes AS (SELECT side, pair_id, guess, count(DISTINCT unit) AS n FROM g GROUP BY ALL), gold AS (SELECT side, pair_id, arg_max(guess, (n, guess)) AS gold FROM votes GROUP BY 1, 2),
+b0 AS (SELECT unit, g.side, gold, guess FROM g JOIN gold USING (side, pair_id)), b AS (SELECT * FROM b0 UNION ALL SELECT unit, 'pooled', gold, guess FROM b0), t AS (SELECT unit, side, count(*) AS n, avg(CAST(gold = guess AS DOUBLE)) AS po FROM b GROUP BY 1, 2),
+x AS (SELECT unit, side, gold AS l, count(*) AS c FROM b GROUP BY ALL), y AS (SELECT unit, side, guess AS l, count(*) AS c FROM b GROUP BY ALL), e AS (SELECT unit, side, sum(x.c * y.c) AS ab FROM x JOIN y USING (unit, side, l) GROUP BY 1, 2),
+h AS (SELECT unit, side, gold AS l, count(*) AS c FROM b WHERE gold = guess GROUP BY ALL), ls AS (SELECT unit, side, l FROM x UNION SELECT unit, side, l FROM y), f AS (SELECT unit, side, avg(2.0 * coalesce(h.c, 0) / (coalesce(x.c, 0) + coalesce(y.c, 0))) AS f1 FROM ls LEFT JOIN x USING (unit, side, l) LEFT JOIN y USING (unit, side, l) LEFT JOIN h USING (unit, side, l) GROUP BY 1, 2)
+SELECT t.unit, t.side, n, round(po, 6) AS raw, CASE WHEN coalesce(ab, 0) < n * n THEN round((po - coalesce(ab, 0) / (n * n)) / (1 - coalesce(ab, 0) / (n * n)), 6) END AS kappa, round(f1, 5) AS macro_f1 FROM t LEFT JOIN e USING (unit, side) JOIN f USING (unit, side)""")
+def coder_bundle(s, d):
+    t = table(s, d, "coder_labels")
+    sides = F.explode(F.array(*[F.struct(F.lit(f).alias("side"), F.lower(F.trim(f)).alias("guess")) for f in ("q_label", "a_label")]))
+    g = t.select(F.col("coder").alias("unit"), "pair_id", sides.alias("x")).select("unit", "pair_id", "x.*").where(F.col("guess").isin(*config.LABELS)).distinct()
+    votes = g.groupBy("side", "pair_id", "guess").agg(F.count_distinct("unit").alias("n"))
+    gold = votes.groupBy("side", "pair_id").agg(F.max_by("guess", F.struct("n", "guess")).alias("gold"))
+    return agreement.bundle(g.join(gold, ["side", "pair_id"]))
+
+
 # ------------------------------------------------------------------ topics and streams
 
 

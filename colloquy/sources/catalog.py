@@ -111,3 +111,17 @@ def problems(labels: DataFrame, items: DataFrame, key: str, column: str, allowed
     missing = items.join(labels.select(key), key, "left_anti").select(key, F.lit("missing item").alias("problem"))
     twice = labels.groupBy(key).count().where("count > 1").select(key, F.lit("repeated item").alias("problem"))
     return bad.unionByName(unknown).unionByName(missing).unionByName(twice)
+
+
+def read_lexicon(spark: SparkSession, path: str, word: str = "Word") -> DataFrame:
+    """(category, word): the words of each category of a lexicon CSV, one column a category, where the value is above 0."""
+    t = read_strings(spark, path)
+    categories = [c for c in t.columns if c != word]
+    long = F.explode(F.array(*[F.struct(F.lower(F.lit(c)).alias("category"), F.col(f"`{c}`").try_cast("double").alias("v")) for c in categories]))
+    return t.select(F.lower(F.trim(word)).alias("word"), long.alias("x")).where("x.v > 0 and word <> ''").select("x.category", "word").distinct()
+
+
+def category_counts(rows: DataFrame, key: str, column: str, lexicon: DataFrame) -> DataFrame:
+    """(key, category, n): words of each category of a lexicon in each text; a category without any has no row."""
+    words = rows.select(key, F.explode(F.regexp_extract_all(F.lower(column), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    return words.join(lexicon, "word").groupBy(key, "category").agg(F.sum("n").alias("n"))

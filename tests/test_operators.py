@@ -216,3 +216,18 @@ def test_figures_carry_context_and_horizon(spark):
     df = spark.createDataFrame([("p", "Income in FY 2023 was 512 against 498 this year", "It rose 5% to £3.2bn, see 2019")], "pair_id string, question_text string, answer_text string")
     got = {r["span"]: (r["value"], r["unit"], r["time_horizon"]) for r in evidence.figures(df).collect()}
     assert got["512"] == (512.0, "", "fy 2023") and got["5%"][:2] == (5.0, "%") and got["£3.2bn"][:2] == (3.2, "bn") and "2019" not in got
+
+
+def test_proportional_sample_quotes_and_bundle(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 70 else "b" if i < 99 else None) for i in range(100)], "k int, c string")
+    got = [r["c"] for r in sampling.proportional(rows, "k", "c", 10, "s").collect()]
+    assert len(got) == 10 and got.count("a") in (7, 8) and got.count(None) == 1
+    assert sampling.proportional(rows, "k", "c", 500, "s").count() == 100 and sampling.proportional(rows.limit(0), "k", "c", 5, "s").count() == 0
+    q = compare.quotes(spark.createDataFrame([("x", 1, "neutral", 0.0), ("x", 2, "negative", -0.5), ("x", 3, "negative", -0.9), ("x", 4, None, None)], "g string, k int, label string, net double"), "k", ["g"], 3)
+    assert {(r["k"], r["nth"]) for r in q.collect()} == {(3, 1), (2, 2), (1, 3)}
+    long = spark.createDataFrame([("m", "q", 1, "a", "a"), ("m", "q", 2, "b", "a"), ("m", "a", 1, "b", "b"), ("m", "a", 2, None, "b")], "unit string, side string, item int, gold string, guess string")
+    got = {r["side"]: (r["n"], r["raw"]) for r in agreement.bundle(long).collect()}
+    assert got == {"q": (2, 0.5), "a": (1, 1.0), "pooled": (3, 0.666667)}
+    corpus = spark.createDataFrame([("b", "q", " Why? ", 2, "old"), ("b", "q", "Why?", 1, "new"), ("b", "q", "x", 3, None)], "bank string, quarter string, text string, row_id int, topic string")
+    asked = spark.createDataFrame([("b", "q", "Why?"), ("b", "r", "Why?"), ("b", "q", None)], "bank string, quarter string, question_text string")
+    assert {(r["quarter"], r["question_text"], r["topic"]) for r in compare.attach_topic(asked, corpus, "topic").collect()} == {("q", "Why?", "new"), ("r", "Why?", None), ("q", None, None)}

@@ -83,3 +83,11 @@ def test_streams_equal_tables(spark, tmp_path):
     prints.coalesce(1).write.parquet(str(tmp_path / "p"))
     out = windows.run_once(windows.presence_stream(windows.parquet_stream(spark, str(tmp_path / "p"), prints)), "present", str(tmp_path / "c2"))
     assert {(r["topic"], r["print_no"]): r["delta"] for r in out.collect()} == {("x", 1): "first_seen", ("x", 2): "disappeared", ("x", 3): "appeared", ("y", 1): "first_absent"}
+
+
+def test_lexicon_files(spark, tmp_path):
+    (tmp_path / "lm.csv").write_text("Word,Negative,Positive,Uncertainty\nLOSS,2009,0,0\nGAIN,0,2009,\nMAY,0,x,2009\n,1,1,1\n")
+    lex = catalog.read_lexicon(spark, str(tmp_path / "lm.csv"))
+    assert {tuple(r) for r in lex.collect()} == {("negative", "loss"), ("positive", "gain"), ("uncertainty", "may")}
+    rows = spark.createDataFrame([(1, "A loss, a LOSS, maybe a gain may come"), (2, None), (3, "")], "k int, t string")
+    assert {tuple(r) for r in catalog.category_counts(rows, "k", "t", lex).collect()} == {(1, "negative", 2), (1, "positive", 1), (1, "uncertainty", 1)}
