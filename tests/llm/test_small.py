@@ -330,6 +330,34 @@ def test_defects(spark):
     assert [tuple(r) for r in pairs.defects(empty).collect()] == [("e1", "empty")]
 
 
+def test_pairs_are_learnt_from_whole_tables(spark):
+    """Words, weights and thresholds come from every pair, not from the first ones by hash."""
+    sound = texts(900, 5)
+    sound = [(q, a + " The zylofant was sold." if i % 9 == 0 else a) for i, (q, a) in enumerate(sound)]
+    rows = [("answer", f"k{i}", q, a, None, "src") for i, (q, a) in enumerate(sound)]
+    df = spark.createDataFrame(rows + rows[:50] + [("answer", "n", None, None, None, None)], "rec string, rec_key string, question_text string, text string, text_origin string, source string")
+    packs = pairs._packs(df, scans.shared(df), 3).cache()
+    shards = [pairs._given(x) for x in pairs._unpacked([packs.toPandas()])]
+    assert sorted(p for x in shards for p in x) == sorted(sound) and len(shards) == 3 and min(map(len, shards)) > 200
+    lexicon, closings = pairs._known(packs)
+    alone = pairs.Model(sound)
+    assert (lexicon, closings) == (alone.lexicon, alone.closings) and "zylofant" in lexicon
+    weights, thresholds = pairs._trained(packs, lexicon, closings)
+    models = [pairs.Model(x, lexicon, closings) for x in shards]
+    assert np.allclose(weights, np.mean([m.weights for m in models], axis=0), atol=1e-5)
+    assert np.allclose(thresholds, np.mean([m.thresholds for m in models], axis=0), atol=1e-5)
+    assert sum(map(len, pairs._unpacked([packs.toPandas()]))) == len(sound) + 1  # and the pair without an answer
+
+
+def test_middle_of_counted_scores():
+    rnd = np.random.default_rng(2)
+    values, times = rnd.normal(-9, 3, 40).round(3), rnd.integers(1, 9, 40)
+    every = np.repeat(values, times)
+    middle = np.median(every)
+    want = float(np.clip(middle + pairs.LIFT * np.median(np.abs(every - middle)), *pairs.VALLEY))
+    assert np.isclose(pairs.beyond(values, times), want) and np.isclose(pairs.beyond(every), want)
+
+
 def test_refusals_in_words_of_no_list():
     sound = texts(400)
     model = pairs.Model(sound)
